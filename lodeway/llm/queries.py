@@ -5,15 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeway.llm import decontaminate, secrets, simhash, substrings
+from lodeway.llm import decontaminate, extraction, mixing, pivots, secrets, sharding, simhash, substrings, toxicity, urls
 from lodeway.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(spark, table(spark, sf_dir, "pages"))
+
+
+#: The rows whose labels the query never learns from.
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), f"not ({HELD_OUT})")
+    found = toxicity.scored(spark, docs, model)
+    return found.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sharding.sharded(spark, docs, 8, columns=["doc_id"])
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(spark, table(spark, sf_dir, "documents"), digest=True)
 
@@ -30,6 +59,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivots.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.benchmark_overlap(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -42,9 +81,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_url_filter,
+        op2_toxicity,
         op3_simhash_near_dedup,
+        op4_histogram_sharding,
+        op5_html_extraction,
         op6_substring_dedup,
         op7_secret_scan,
+        op8_embedding_near_dedup,
+        op9_source_mixing,
         op10_benchmark_decontamination,
     )
 }
