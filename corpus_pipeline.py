@@ -1,4 +1,93 @@
-STAGES = []
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's ``docs``. All but the last return
+the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeway.llm import decontaminate, mixing, sharding, simhash, toxicity
+from lodeway.llm.common import Scratch, table
+from lodeway.llm.queries import HELD_OUT
+
+#: Score from which a document is rejected.
+TOXIC = 0.7
+SHARDS = 8
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``TOXIC``; the model never sees the held-out labels."""
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), f"not ({HELD_OUT})")
+    scored = toxicity.scored(spark, docs.withColumn("_doc", F.struct(*docs.columns)).select("_doc", "text"), model)
+    return scored.where(F.col("toxicity") < TOXIC).select("_doc.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each near-duplicate group, once; rows without doc_id stay."""
+    found = simhash.near_duplicates(spark, docs.where("doc_id is not null"))
+    kept = Scratch(spark, "kept").save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
+    rows = docs.join(kept, "doc_id")
+    out = rows.where("_n = 1").select(*docs.columns)
+    repeated = kept.where("_n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark items cover less than a twentieth."""
+    found = decontaminate.benchmark_overlap(spark, docs, table(spark, sf_dir, "benchmark")).where(decontaminate.contaminated())
+    found = Scratch(spark, "contaminated").save(found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct())
+    same = docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_t"])
+    return docs.join(found, same, "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    key = ["_d", "_t", "_s"]
+    found = mixing.mixed(spark, docs).where("times > 0 and size > 0")
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("source").alias("_s"), "times")
+    found = Scratch(spark, "mixed").save(found.groupBy(*key).agg(F.sum("times").cast("int").alias("_times"), F.count("*").alias("_n")))
+    keyed = docs.withColumns({"_k": F.col("doc_id").cast("long"), "_x": F.xxhash64("text")})
+
+    def joined(some: DataFrame) -> DataFrame:
+        same = F.col("_k").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
+        return keyed.join(some, same)
+
+    out = joined(found.where("_n = 1"))
+    repeated = found.where("_n > 1")
+    if not repeated.isEmpty():  # rows alike share what they are taken
+        out = out.unionByName(joined(repeated).dropDuplicates(key))
+    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with shard and slot, in shards of nearly equal bytes."""
+    return sharding.sharded(spark, docs, SHARDS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: A trained model and a flow decide, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return docs

@@ -117,8 +117,13 @@ def _hits(ws: Column, lengths: list[int], members: dict[int, list[int]] | None)
     return F.concat(*parts)
 
 
+def contaminated() -> Column:
+    """Whether hit words are a twentieth of the document's or more."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items)`` for every row of ``docs``.
+    """``(doc_id, text_key, n_words, n_hit, items)`` for every row of ``docs``.
 
     ``n_hit`` counts words inside any occurrence of a benchmark window, and
     ``items`` lists the ids, as sorted strings, of the items that have one.
@@ -174,4 +179,4 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         ),
         lambda a: a["n"],
     )
-    return rows.select("doc_id", "n_words", covered.alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")
+    return rows.select("doc_id", "text_key", "n_words", covered.alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")

@@ -28,6 +28,8 @@ PASSES = 3
 TIERS = 8
 #: Cells of the histogram of seeded hashes.
 CELLS = 4096
+#: Documents of a class that are picked by their size.
+FILLS = 4
 #: Rows of classes up to which their decisions are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -151,13 +153,67 @@ def routed(own: dict[tuple[int, int], int], unique: dict[int, int], quotas: dict
     return {k: sum(map(net.flow, es)) for k, es in edges.items()}
 
 
+def _chosen(spark: SparkSession, scratch: Scratch, rows: DataFrame, cells: DataFrame, given: dict, own: dict) -> DataFrame:
+    """``rows`` with ``times``, the passes over each, so that every class (p, s) gives its ``given`` words.
+
+    All documents get the whole passes. One more goes to those whose seeded hash
+    lies in the cells that the rest covers, then, within the next cell, in the
+    order of the hash as far as they fit, and to a few documents of the class
+    that fill best what is left.
+    """
+    decided = [(*k, min(PASSES, f // own[k]), f - own[k] * min(PASSES, f // own[k])) for k, f in sorted(given.items()) if own[k]]
+    few = len(decided) <= BROADCAST_ROWS
+    plan = spark.createDataFrame(decided, "p int, s int, passes int, part long")
+    upto = F.sum("size").over(W.partitionBy("p", "s").orderBy("cell"))
+    ends = cells.withColumn("upto", upto).join(F.broadcast(plan) if few else plan, ["p", "s"])
+    ends = ends.where("upto > part and upto - size <= part")
+    ends = ends.select("p", "s", "passes", F.col("cell").alias("last"), (F.col("part") - F.col("upto") + F.col("size")).alias("rest"))
+    if few:  # a row of each class
+        ends = F.broadcast(spark.createDataFrame([tuple(r) for r in ends.collect()], "p int, s int, passes int, last int, rest long"))
+    else:
+        ends = scratch.save(ends)
+    rows = rows.join(ends, ["p", "s"], "left")
+    at_end = F.col("cell").eqNullSafe(F.col("last"))
+    clear = rows.where(~at_end).withColumn("extra", F.coalesce(F.col("cell") < F.col("last"), F.lit(False)).cast("int"))
+    order = W.partitionBy("p", "s").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    edge = rows.where(at_end).withColumn("extra", (F.sum("size").over(order) <= F.col("rest")).cast("int"))
+    edge = scratch.save(edge)
+    every = clear.unionByName(edge)
+    filled = _fillers(spark, every, edge) if few else []
+    fillers = spark.createDataFrame(filled, "p int, s int, doc_id long, text_key long").withColumn("fills", F.lit(1))
+    every = every.join(F.broadcast(fillers), ["p", "s", "doc_id", "text_key"], "left")  # FILLS rows a class at most
+    times = F.coalesce("passes", F.lit(0)) + F.greatest("extra", F.coalesce("fills", F.lit(0)))
+    return every.withColumn("times", F.least(times, F.lit(PASSES)))
+
+
+def _fillers(spark: SparkSession, every: DataFrame, edge: DataFrame) -> list[tuple]:
+    """Documents, at most ``FILLS`` a class, each of which fills best what its class still lacks."""
+    left = edge.groupBy("p", "s").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
+    lacks = {(r["p"], r["s"]): r["left"] for r in left.collect() if r["left"] > 0}
+    out: list[tuple] = []
+    free = every.where("extra = 0 and size > 0").select("p", "s", "doc_id", "text_key", "rank", "size")
+    for _ in range(FILLS):
+        if not lacks:
+            break
+        now = F.broadcast(spark.createDataFrame([(*k, v) for k, v in lacks.items()], "p int, s int, left long"))
+        rows = free.join(now, ["p", "s"])
+        if out:
+            rows = rows.join(F.broadcast(spark.createDataFrame(out, "p int, s int, doc_id long, text_key long")), ["p", "s", "doc_id", "text_key"], "left_anti")
+        gap = F.abs(F.col("size") - F.col("left"))
+        best = rows.where(gap < F.col("left")).groupBy("p", "s").agg(F.min(F.struct(gap.alias("gap"), "rank", "doc_id", "text_key", "size")).alias("b"))
+        found = best.select("p", "s", "b.*").collect()
+        lacks = {(r["p"], r["s"]): left for r in found if (left := lacks[r["p"], r["s"]] - r["size"]) > 0}
+        out += [(r["p"], r["s"], r["doc_id"], r["text_key"]) for r in found]
+    return out
+
+
 def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     """``(doc_id, text_key, source, size, source_size, target, taken)`` for every row of ``docs``.
 
     ``size`` counts the words between ASCII white space (null text: 0),
     ``taken`` is a multiple of it, at most ``PASSES`` times. The sources, in
     code point order and null last, weigh 1, 2, 3, repeating. A source's taken
-    words differ from its target by about half a document. The choice depends
+    words miss its target by less than a document. The choice depends
     on ``seed``, doc_id and text alone; rows alike in both may be taken
     differently, their number not. Sources are held on the driver, one row
     each. An empty table gives an empty result; other columns are ignored.
@@ -199,23 +255,15 @@ def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     once |= {known[tuple(r["sources"])]: r["once"] for r in common}
     given = routed(own, once, {i: round(goal[s]) for s, i in number.items()})
 
-    part = {k: f - size * (f // size) for k, f in given.items() if (size := own[k])}
-    decided = [(*k, min(PASSES, f // own[k]), part.get(k, 0)) for k, f in given.items() if own[k]]
-    plan = spark.createDataFrame(decided, "p int, s int, passes int, part long")
-    plan = F.broadcast(plan) if len(decided) <= BROADCAST_ROWS else plan
-    # The cell in which the extra part of each class ends, and the words before it.
-    upto = F.sum("size").over(W.partitionBy("p", "s").orderBy("cell"))
-    ends = cells.withColumn("upto", upto).join(plan.where("part > 0"), ["p", "s"])
-    ends = ends.where("upto >= part and upto - size < part").select("p", "s", F.col("cell").alias("last"), (F.col("part") - F.col("upto") + F.col("size")).alias("rest"))
-    ends = ends.collect() if len(decided) <= BROADCAST_ROWS else ends
-    if isinstance(ends, list):  # a row of each class at most
-        ends = F.broadcast(spark.createDataFrame([tuple(r) for r in ends], "p int, s int, last int, rest long"))
-    rows = rows.join(plan, ["p", "s"], "left").join(ends, ["p", "s"], "left")
-    rows = rows.withColumn("passes", F.coalesce("passes", F.lit(0)))
-    at_end = F.col("cell").eqNullSafe(F.col("last"))
-    clear = rows.where(~at_end).withColumn("extra", F.coalesce(F.col("cell") < F.col("last"), F.lit(False)).cast("int"))
-    before = F.sum("size").over(W.partitionBy("p", "s").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    edge = rows.where(at_end).withColumn("extra", (before + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    every = clear.unionByName(edge)
-    taken = (F.col("size") * F.least(F.col("passes") + F.col("extra"), F.lit(PASSES))).cast("long")
-    return every.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("passes") + F.col("extra")).alias("times"))
+    # Texts of several sources first; a source's own texts make up for what whole documents missed.
+    shared_part = _chosen(spark, scratch, rows.where(F.col("p") >= base), cells, {k: f for k, f in given.items() if k[0] >= base}, own)
+    missed = {s: goal[name] for name, s in number.items()}
+    if common:
+        shared_part = scratch.save(shared_part)
+        for r in shared_part.groupBy("s").agg(F.sum(F.col("size") * F.col("times")).alias("got")).collect():
+            missed[r["s"]] -= r["got"]
+    rest = {(s, s): max(0, min(PASSES * own[s, s], round(missed[s]))) for s in number.values() if (s, s) in own}
+    own_part = _chosen(spark, scratch, rows.where(F.col("p") < base), cells, rest, own)
+    every = own_part.unionByName(shared_part)
+    taken = (F.col("size") * F.col("times")).cast("long")
+    return every.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), "times")

@@ -80,7 +80,7 @@ def _verified(least: float):
     def group(key: tuple, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         x, tops, side, node, count = (rows[k] for k in ("x", "tops", "side", "node", "count"))
         n = int((side == 0).sum())
-        if n < len(side):  # members of one chunk against those of another
+        if key[4] != key[5]:  # members of one chunk against those of another
             a, b = np.nonzero(x[:n] @ x[n:].T >= least)
             b = b + n
         else:
