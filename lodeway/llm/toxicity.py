@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeway.llm.common import Scratch
+
 #: Labelled documents of each class that the fit takes at most, by least hash of doc_id.
 FIT_ROWS = 4000
 #: Features that the model keeps at most, and the least evidence (standard errors) for each.
@@ -101,27 +103,16 @@ class Model:
 
 
 def fit(labels: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None], rounds: int = 400) -> Model:
-    """The model of documents given as sorted feature arrays; ``other`` are the swapped ones."""
+    """The model of documents given as arrays of the chosen features; ``other`` are the swapped ones."""
     n1, n = int(labels.sum()), len(labels)
     if not n1 or n1 == n:  # nothing to tell apart
         return Model({}, -2.0)
     n0 = n - n1
-    flat, sizes = np.concatenate(own).astype(np.int64), np.array([len(x) for x in own])
-    toxic = np.repeat(labels, sizes)
-    a = np.bincount(flat[toxic == 1], minlength=BUCKETS)
-    b = np.bincount(flat[toxic == 0], minlength=BUCKETS)
-    p = (a + b) / n
-    z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z[(a + b < 2)] = 0
-    order = np.lexsort((np.arange(BUCKETS), -np.abs(z)))[:FEATURES]
-    chosen = np.sort(order[np.abs(z[order]) >= EVIDENCE])
-    place = np.full(BUCKETS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
+    chosen = np.unique(np.concatenate([*own, *(x for x in other if x is not None)]))
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        c = place[np.concatenate(rows).astype(np.int64)] if len(r) else np.zeros(0, np.int64)
-        return r[c >= 0], c[c >= 0]
+        return r, np.searchsorted(chosen, np.concatenate(rows)) if len(r) else np.zeros(0, np.int64)
 
     row, col = sparse(own)
     pair = [i for i, x in enumerate(other) if x is not None]
@@ -157,15 +148,35 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable=None)
         return Model({}, -2.0)
     chosen = F.broadcast(spark.createDataFrame(picked, "id long, label int"))  # 2 * FIT_ROWS rows at most
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").select("text", "label")
-    rows = rows.mapInArrow(_described, "label int, own array<int>, other array<int>").toArrow()
-    if not rows.num_rows:
-        return Model({}, -2.0)
-    labels_, own, other = (rows.column(k).combine_chunks() for k in ("label", "own", "other"))
-    array = lambda x: None if not x.is_valid else np.array(x.values, np.int32)
-    arrays = [array(x) for x in own]
+    rows = Scratch(spark, "toxicity").save(rows.mapInArrow(_described, "label int, own array<int>, other array<int>"))
+    kept = evident(rows)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.array(kept, np.int32)
+        cut = lambda x: None if x.as_py() is None else np.intersect1d(np.array(x.as_py(), np.int32), wanted)
+        for batch in batches:
+            kind = pa.list_(pa.int32())
+            cols = [pa.array([cut(x) for x in batch.column(c)], kind) for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], batch.schema.names)
+
+    got = [(r["label"], r["own"], r["other"]) for r in rows.mapInArrow(narrowed, rows.schema).toLocalIterator()]
+    array = lambda x: None if x is None else np.array(x, np.int32)
     # An order of their own, so that the sums of the fit do not hang on how rows came in.
-    order = sorted(range(len(arrays)), key=lambda i: (len(arrays[i]), arrays[i].tobytes()))
-    return fit(labels_.to_numpy()[order], [arrays[i] for i in order], [array(other[i]) for i in order])
+    got.sort(key=lambda r: (r[0], r[1], r[2] or []))
+    if not got:
+        return Model({}, -2.0)
+    return fit(np.array([r[0] for r in got]), [array(r[1]) for r in got], [array(r[2]) for r in got])
+
+
+def evident(rows: DataFrame) -> list[int]:
+    """At most ``FEATURES`` buckets of (label, own) rows whose shares differ most between the labels."""
+    total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("n1"))
+    counts = rows.select("label", F.explode("own").alias("f")).groupBy("f").agg(F.sum("label").alias("a"), F.count("*").alias("c"))
+    counts = counts.where("c >= 2").crossJoin(F.broadcast(total)).where("n1 > 0 and n1 < n")
+    p, n0 = F.col("c") / F.col("n"), F.col("n") - F.col("n1")
+    gap = F.col("a") / F.col("n1") - (F.col("c") - F.col("a")) / n0
+    z = F.abs(gap) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / F.col("n1") + 1 / n0))
+    return [r["f"] for r in counts.select("f", z.alias("z")).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
