@@ -56,11 +56,19 @@ def canonical_type(label: Column) -> Column:
     return F.when(low.isin(K.ENTITY_TYPES), low).otherwise(F.coalesce(alias, F.lit("symbol")))
 
 
+def _once(names: list[str]) -> list[str]:
+    """Names in order, each in its first spelling."""
+    out: dict[str, str] = {}
+    for x in names:
+        out.setdefault(x.lower(), x)
+    return list(out.values())
+
+
 def query_literals(query: str) -> list[str]:
     """Compound identifiers of a query, first kebab, snake and dotted ones, then camel case; 4 characters or more."""
     found = re.findall(r"[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)+", query)
     found += re.findall(r"\b(?:[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)\b", query)
-    return list({x.lower(): x for x in reversed(found) if len(x) >= 4}.values())[::-1]
+    return _once([x for x in found if len(x) >= 4])
 
 
 def query_tokens(query: str) -> list[str]:
@@ -69,7 +77,7 @@ def query_tokens(query: str) -> list[str]:
     for word in re.findall(r"[A-Za-z0-9_]+", query):
         pieces = [word, *(p for u in word.split("_") for p in (u, *re.findall(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+", u)))]
         out += [p for p in pieces if len(p) >= 2]
-    return list({x.lower(): x for x in reversed(out)}.values())[::-1]
+    return _once(out)
 
 
 # paths
