@@ -29,7 +29,7 @@ FEATURES, EVIDENCE = 4096, 4.0
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
 #: Weight of the counterfactual penalty and of the squared weights.
-PENALTY, RIDGE = 1.0, 1e-3
+PENALTY, RIDGE = 10.0, 1e-3
 
 # Identity terms that stand in for each other, by kind.
 IDENTITY = (

@@ -106,4 +106,4 @@ def decontaminate(docs, bench):
                     hit.update(range(i, i + n))
                     items |= got
         out.append((d, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit) and 20 * len(hit) >= len(w)))
-    return sorted(out)
+    return sorted(out, key=repr)

@@ -119,12 +119,12 @@ def test_penalty_shrinks_the_swing_of_identity_terms(monkeypatch):
     words = [toxicity.words(t) for _, t in docs]
     arr = lambda ws: None if ws is None else np.array(sorted({f for w in ws for f in toxicity.features_of(w)}), np.int32)
     own, other = [arr(w) for w in words], [arr(toxicity.swapped(w)) for w in words]
-    swing = {}
-    for penalty in (0.0, 1.0):
+    swing, full = {}, toxicity.PENALTY
+    for penalty in (0.0, full):
         monkeypatch.setattr(toxicity, "PENALTY", penalty)
         model = toxicity.fit(y, own, other)
         swing[penalty] = abs(model.score("muslim") - model.score("christian"))
-    assert swing[1.0] < 0.5 * swing[0.0]
+    assert swing[full] < 0.5 * swing[0.0]
 
 
 def test_toxicity_without_labels(spark, tmp_path):
