@@ -38,7 +38,7 @@ class Scratch:
         """``df`` written once and read back: later reads never recompute it."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
