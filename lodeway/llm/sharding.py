@@ -11,11 +11,12 @@ tolerance, the rows are exchanged once.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lodeway.llm.common import Scratch, n_partitions, unsigned_crc32
 
@@ -94,6 +95,55 @@ def splitters(rows: DataFrame, keys: list[str], size: str, shards: int, toleranc
     return sorted(s.found for s in every)
 
 
+@dataclass
+class Parts:
+    """Ranges of the shards' order that one task each can hold, and their rows."""
+
+    hot: list[tuple[int, list[tuple[int, list[int]]]]]  # of a range: its keys of many rows, and where doc_id cuts each
+    bits: int
+
+    def place(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
+        """``rows`` with _cell, _side and _cut, which rise along the order of a shard."""
+        rows = rows.withColumn("_cell", F.shiftright("_k", 64 - self.bits) if self.bits else F.lit(0).cast("long"))
+        if not self.hot:
+            return rows.withColumns({"_side": F.lit(0), "_cut": F.lit(0)})
+        hot = spark.createDataFrame(self.hot, "_cell long, _hot array<struct<k: long, cuts: array<long>>>")
+        rows = rows.join(F.broadcast(hot), "_cell", "left")
+        own = F.filter("_hot", lambda h: h["k"] == F.col("_k"))
+        side = 2 * F.size(F.filter("_hot", lambda h: h["k"] < F.col("_k"))) + F.size(own)
+        cut = F.size(F.filter(F.flatten(F.transform(own, lambda h: h["cuts"])), lambda c: c <= F.col("_d")))
+        known = F.col("_hot").isNotNull()
+        rows = rows.withColumns({"_side": F.when(known, side).otherwise(0), "_cut": F.when(known, cut).otherwise(0)})
+        return rows.drop("_hot")
+
+
+def parts(narrow: DataFrame, n: int) -> Parts:
+    """About ``n`` ranges of the keys of ``narrow`` (_k, _d, _size) of nearly equal bytes.
+
+    The texts' hashes are even, so ranges of them are; a text so often repeated
+    that it outweighs a range is cut by doc_id. No more than 2 n texts can.
+    """
+    bits = (n - 1).bit_length()
+    cell = F.shiftright("_k", 64 - bits) if bits else F.lit(0).cast("long")
+    sizes = {r["c"]: r["b"] for r in narrow.groupBy(cell.alias("c")).agg(F.sum("_size").alias("b")).collect()}
+    mean = sum(sizes.values()) / (1 << bits)
+    heavy = [c for c, b in sizes.items() if b > 2 * mean]
+    if not heavy:
+        return Parts([], bits)
+    within = narrow.where(cell.isin(heavy)).groupBy("_k").agg(F.sum("_size").alias("b"), F.count("*").alias("n"))
+    found = within.where((F.col("b") > mean) & (F.col("n") > 1)).collect()
+    if not found:
+        return Parts([], bits)
+    wanted = []
+    for i, r in enumerate(found):
+        steps = min(math.ceil(r["b"] / mean), r["n"])
+        wanted.append(F.percentile_approx(F.when(F.col("_k") == r["_k"], F.col("_d")), [j / steps for j in range(1, steps)] or [0.0]).alias(f"q{i}"))
+    got, by = narrow.where(F.col("_k").isin([r["_k"] for r in found])).agg(*wanted).first(), {}
+    for i, r in enumerate(found):
+        by.setdefault((r["_k"] >> (64 - bits)) if bits else 0, []).append((r["_k"], sorted(set(got[i]))))
+    return Parts(list(by.items()), bits)
+
+
 def sharded(
     spark: SparkSession, docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, columns: list[str] | None = None
 ) -> DataFrame:
@@ -104,32 +154,34 @@ def sharded(
     order is by the text's XXH64 and doc_id (null first), so equal texts stand
     side by side and a large group of them is cut between doc_ids; rows alike in
     both stay together. ``slot`` counts the rows of a shard from 0 in that
-    order, without gaps. Columns of those four names are replaced. An empty
-    table gives an empty result.
+    order, without gaps. ``docs`` is read twice and must give the same rows
+    each time. Columns of those four names are replaced. An empty table gives
+    an empty result.
+
+    The ranges that tasks will hold and their rows are counted beforehand, from
+    the keys alone. So whole rows are exchanged once and written nowhere else: a
+    row's slot is its range's first one plus its place in the range.
     """
     scratch = Scratch(spark, "sharding")
     keys = ["_k", "_d"]
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     keyed = [F.xxhash64("text").alias("_k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("_d"), size.alias("_size")]
     narrow = scratch.save(docs.select(*keyed))
-    bounds = splitters(narrow, keys, "_size", shards, tolerance)
-    scratch.drop(narrow)
     shard = F.lit(0)
-    for b in bounds:
+    for b in splitters(narrow, keys, "_size", shards, tolerance):
         shard = shard + (~_less(keys, b)).cast("int")
+    cut = parts(narrow, n_partitions(spark))
+    at = ["shard", "_cell", "_side", "_cut"]
+    counts = cut.place(spark, narrow.withColumn("shard", shard)).groupBy(*at).agg(F.count("*").alias("n")).collect()
+    scratch.drop(narrow)
+    starts, before = [], Counter()
+    for i, r in enumerate(sorted(counts, key=lambda r: tuple(r[c] for c in at))):
+        starts.append((*(r[c] for c in at), i, before[r["shard"]]))
+        before[r["shard"]] += r["n"]
+    known = spark.createDataFrame(starts, "shard int, _cell long, _side int, _cut int, _part int, _start long")
     kept = [c for c in (columns or docs.columns) if c not in ("size", "text_crc32", "shard", "slot")]
-    rows = docs.select(*kept, unsigned_crc32(F.col("text")).alias("text_crc32"), *keyed)
-    rows = rows.withColumn("shard", shard).repartitionByRange(n_partitions(spark), "shard", *keys)
-    rows = rows.sortWithinPartitions("shard", *keys)
-    place = F.monotonically_increasing_id()
-    rows = scratch.save(
-        rows.select(*kept, F.col("_size").alias("size"), "text_crc32", "shard", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
-    )
-    # Where each shard starts in each partition; a row of each pair, partitions + shards at most.
-    starts = rows.groupBy("shard", "_part").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("_part")) - F.col("n")
-    starts = starts.select("shard", "_part", (before - F.col("first")).alias("shift"))
-    out = rows.join(F.broadcast(starts), ["shard", "_part"])
-    return out.select(*kept, "size", "text_crc32", "shard", (F.col("_row") + F.col("shift")).cast("long").alias("slot"))
-
-
+    rows = docs.select(*kept, unsigned_crc32(F.col("text")).alias("text_crc32"), *keyed).withColumn("shard", shard)
+    rows = cut.place(spark, rows).join(F.broadcast(known), at).drop(*at[1:])
+    rows = rows.repartitionById(max(1, len(starts)), F.col("_part")).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(*kept, F.col("_size").alias("size"), "text_crc32", "shard", (F.col("_start") + place).alias("slot"))
