@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeway.llm import common, extraction, mixing, pivots, queries, sharding, toxicity, urls
 from tests.llm import brute, data
@@ -108,7 +109,6 @@ def test_toxicity_learns_and_ignores_groups(spark, tmp_path, monkeypatch):
 
 
 def data_lit(x):
-    from pyspark.sql import functions as F
 
     return F.lit(x)
 
@@ -155,6 +155,18 @@ def test_shards_have_equal_bytes(spark, tmp_path, copies):
     assert max(total) - min(total) <= 0.002 * sum(total) / 8 + 2 * max(r["size"] for r in got)
 
 
+def test_tasks_share_a_text_of_most_rows(spark):
+    docs = data.frame(spark, [(i, "the same text") for i in range(900)] + [(1000 + i, f"text {i}") for i in range(100)])
+    got = sharding.sharded(spark, docs, 3, columns=["doc_id"]).withColumn("part", F.spark_partition_id()).collect()
+    rows, of_part = {}, {}
+    for r in got:
+        rows.setdefault(r["shard"], []).append(r["slot"])
+        if r["doc_id"] < 900:
+            of_part[r["part"]] = of_part.get(r["part"], 0) + 1
+    assert sorted(rows) == [0, 1, 2] and all(sorted(s) == list(range(len(s))) for s in rows.values())
+    assert sum(of_part.values()) == 900 and max(of_part.values()) <= 250
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "x")], [(9, "same")] * 30])
 def test_shards_of_awkward_tables(spark, tmp_path, rows):
     folder = data.write(spark, tmp_path, documents=data.frame(spark, rows))
