@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeway.llm import decontaminate, mixing, sharding, simhash, toxicity
+from lodeway.llm import decontaminate, mixing, nearcopies, sharding, toxicity
 from lodeway.llm.common import Scratch, table
 from lodeway.llm.queries import HELD_OUT
 
 #: Score from which a document is rejected.
 TOXIC = 0.7
 SHARDS = 8
-#: Near copies: words of a shingle, and differing bits of their fingerprints at most. Texts that share four fifths
-#: of their shingles mostly differ in up to this many bits, texts that share none in about 32.
-SHINGLE, NEAR_BITS = 5, 8
+#: Near copies: words of a shingle, differing bits of fingerprints that make a candidate, and the share of common
+#: shingles from which a candidate is a near copy.
+SHINGLE, NEAR_BITS, ALIKE = 5, 8, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each near-duplicate group, once; rows without doc_id stay."""
-    found = simhash.near_duplicates(spark, docs.where("doc_id is not null"), NEAR_BITS, SHINGLE)
+    found = nearcopies.near_copies(spark, docs.where("doc_id is not null"), ALIKE, SHINGLE, NEAR_BITS)
     kept = Scratch(spark, "kept").save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
     rows = docs.join(kept, "doc_id")
     out = rows.where("_n = 1").select(*docs.columns)

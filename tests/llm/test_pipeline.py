@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodeway.llm import mixing
+from lodeway.llm import mixing, nearcopies, simhash
 from tests.llm import brute, data
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,3 +82,56 @@ def test_run_of_an_empty_corpus(spark, tmp_path):
         benchmark=spark.createDataFrame([], "item_id long, text string"),
     )
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def near_corpus():
+    """Texts with substitutions, so that pairs lie on both sides of 0.8, under a line that all share."""
+    r = random.Random(5)
+    prose = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs = []
+    for k in range(60):
+        words = prose(r.randint(60, 300))
+        for i in range(5):
+            some = list(words)
+            for at in r.sample(range(len(some)), r.randint(0, max(1, len(some) // 30))):
+                some[at] = "new" + str(r.random())
+            docs.append((1000 * i + k, " ".join(some), "en", "s0", 1))
+    docs += [(6000 + i, "one two three four five six seven " + " ".join(prose(20)), "en", "s0", 1) for i in range(20)]
+    return docs
+
+
+def near_expected(docs):
+    """doc_ids that stay: the least of each component of pairs at 0.8 or more."""
+    grams = {}
+    for d, t, *_ in docs:
+        w = t.split()
+        grams[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {d: d for d in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in grams:
+        for b in grams:
+            if a < b and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d for d in root if root[d] == d}
+
+
+def test_near_copies_are_those_at_four_fifths(spark, monkeypatch):
+    docs = near_corpus()
+    frame, want = spark.createDataFrame(docs, COLUMNS), near_expected(docs)
+    assert 80 < len(want) < len(docs) - 80
+    stay = lambda: {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()}
+    assert stay() == want
+    monkeypatch.setattr(nearcopies, "OPEN", 0)  # rounds against one text of a bucket first
+    assert stay() == want
+
+
+def test_fingerprints_of_shingle_hashes():
+    for text in ("", "a b", "a b c d e", *(t for _, t, *_ in near_corpus()[:20])):
+        if text:
+            assert nearcopies.fingerprint_of(nearcopies.hashes(text, 5)) == simhash.fingerprint(text, 5)
