@@ -291,8 +291,8 @@ def dead_code(spark, d):
 def dead_code_verified(spark, d):
     """Candidates that the texts of documents mention are alive."""
     words = read(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("name"))
-    files = view(spark, d, "files").where("file like 'src1/%' or file like 'src2/%'")
-    rows = words.distinct().where("name like 'the%'").select(F.lit("lib/x.py").alias("file"), "name", F.lit("function").alias("type"), F.lit("").alias("description"), F.lit(1).cast("long").alias("line_start"), F.lit("").alias("traits"))
+    files = view(spark, d, "files")
+    rows = words.distinct().select(F.lit("lib/x.py").alias("file"), "name", F.lit("function").alias("type"), F.lit("").alias("description"), F.lit(1).cast("long").alias("line_start"), F.lit("").alias("traits"))
     none = graph(spark, d)[1].limit(0)
     return analytics.dead_code(rows, none, files=files).select("name")
 

@@ -1,11 +1,14 @@
 """Queries against their SQL on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from lodeway.functions import constants as K
+from lodeway.operators import analytics
 from lodeway.plans.oracles import ORACLES
 from lodeway.plans.queries import QUERIES
 
@@ -48,3 +51,16 @@ def test_registry(spark):
 def test_flagship(spark):
     if os.path.isdir(FOLDER):
         assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_dead_code_verified_over_all_sources(spark, duck):
+    texts = [t for t, in duck.sql("select text from documents where text is not null").fetchall()]
+    names = {w for t in texts for w in re.findall("[a-z]{4,}", t.lower())} - set(K.FRAMEWORK_METHODS)
+    alive = set()
+    for (text,) in duck.sql("select text from documents where text is not null").fetchall():
+        for line in text.split("\n"):
+            if not re.search(analytics.COMMENT, line, re.A):
+                for word in names & set(re.findall(r"[\w$]+", line, re.A)):
+                    if not re.search(analytics.DEFINITION.replace("NAME", re.escape(word)), line, re.A):
+                        alive.add(word)
+    assert {r["name"] for r in QUERIES["dead_code_verified"](spark, FOLDER).collect()} == names - alive
