@@ -4,8 +4,7 @@ Documents are aggregated by membership pattern, the set of sources that hold
 their text, and source. A flow routes the words of the patterns to the quotas
 of the sources; each further repetition of a text, and of a source's documents,
 costs one more, so that repeats spread evenly. The network has a node for each
-source and pattern, at most ``PATTERNS`` of the latter: rarer patterns count as
-their sources' own texts. The flow of a pattern to a source becomes whole passes
+source and pattern, however rare. The flow of a pattern to a source becomes whole passes
 over its documents and a seeded part of one more, which a histogram of seeded
 hashes finds without sorting a source.
 """
@@ -13,6 +12,7 @@ hashes finds without sorting a source.
 from __future__ import annotations
 
 from collections import deque
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ from pyspark.sql import Window as W
 
 from lodeway.llm.common import SPACE, Scratch
 
-PATTERNS = 1024
 WEIGHTS = (1, 2, 3)
 #: Passes over a document at most.
 PASSES = 3
@@ -73,58 +72,70 @@ class MinCostFlow:
         return self.cap[edge ^ 1]
 
     def run(self, s: int, t: int) -> None:
+        """Rounds of least distance by prices, none of the costs given being negative; each fills all paths that short, fewest edges first."""
+        price = [0] * len(self.out)
         while True:
-            far = self._distances(s)
+            far = self._distances(s, t, price)
             if far[t] is None:
                 return
-            nxt, on = [0] * len(self.out), [False] * len(self.out)
-            while self._push(s, t, far, nxt, on):
-                pass
+            price = [p + (far[t] if d is None else min(d, far[t])) for p, d in zip(price, far)]
+            while (level := self._levels(s, t, price))[t] is not None:
+                nxt = [0] * len(self.out)
+                while self._push(s, t, price, level, nxt):
+                    pass
 
-    def _distances(self, s: int) -> list[int | None]:
+    def _distances(self, s: int, t: int, price: list[int]) -> list[int | None]:
         far: list[int | None] = [None] * len(self.out)
-        far[s], todo, waiting = 0, deque([s]), {s}
+        far[s], todo = 0, [(0, s)]
         while todo:
-            x = todo.popleft()
-            waiting.discard(x)
+            d, x = heappop(todo)
+            if x == t:
+                break
+            if d > far[x]:
+                continue
             for e in self.out[x]:
                 if self.cap[e]:
-                    d, y = far[x] + self.cost[e], self.to[e]
-                    if far[y] is None or d < far[y]:
-                        far[y] = d
-                        if y not in waiting:
-                            waiting.add(y)
-                            todo.append(y)
+                    y = self.to[e]
+                    then = d + self.cost[e] + price[x] - price[y]
+                    if far[y] is None or then < far[y]:
+                        far[y] = then
+                        heappush(todo, (then, y))
         return far
 
-    def _push(self, s: int, t: int, far: list, nxt: list[int], on: list[bool]) -> bool:
+    def _levels(self, s: int, t: int, price: list[int]) -> list[int | None]:
+        level: list[int | None] = [None] * len(self.out)
+        level[s], todo = 0, deque([s])
+        while todo and level[t] is None:
+            x = todo.popleft()
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.cap[e] and level[y] is None and self.cost[e] + price[x] == price[y]:
+                    level[y] = level[x] + 1
+                    todo.append(y)
+        return level
+
+    def _push(self, s: int, t: int, price: list[int], level: list, nxt: list[int]) -> bool:
         path, x = [], s
-        on[s] = True
         while x != t:
             edges = self.out[x]
             while nxt[x] < len(edges):
                 e = edges[nxt[x]]
                 y = self.to[e]
-                if self.cap[e] and not on[y] and far[y] is not None and far[y] == far[x] + self.cost[e]:
+                if self.cap[e] and level[y] == level[x] + 1 and self.cost[e] + price[x] == price[y]:
                     break
                 nxt[x] += 1
             if nxt[x] < len(edges):
                 path.append(edges[nxt[x]])
                 x = self.to[path[-1]]
-                on[x] = True
             elif path:
-                on[x] = False
                 x = self.to[path.pop() ^ 1]
                 nxt[x] += 1
             else:
-                on[s] = False
                 return False
         room = min(self.cap[e] for e in path)
         for e in path:
             self.cap[e] -= room
             self.cap[e ^ 1] += room
-            on[self.to[e]] = False
-        on[s] = False
         return True
 
 
@@ -215,7 +226,7 @@ def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     code point order and null last, weigh 1, 2, 3, repeating. A source's taken
     words miss its target by less than a document. The choice depends
     on ``seed``, doc_id and text alone; rows alike in both may be taken
-    differently, their number not. Sources are held on the driver, one row
+    differently, their number not. Sources and patterns are held on the driver, one row
     each. An empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(spark, "mixing")
@@ -236,11 +247,12 @@ def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     texts = rows.groupBy("text_key").agg(F.array_sort(F.collect_set("s")).alias("sources"), F.max("size").alias("once"))
     shared = texts.where(F.size("sources") > 1)
     common = shared.groupBy("sources").agg(F.sum("once").alias("once"), F.count("*").alias("n"))
-    common = common.orderBy(F.desc("n"), "sources").limit(PATTERNS).collect()
+    common = common.orderBy(F.desc("n"), "sources").collect()
     base = len(number)
     known = {tuple(r["sources"]): base + i for i, r in enumerate(common)}
     listed = spark.createDataFrame([(list(k), v) for k, v in known.items()], "sources array<int>, p int")
-    shared = shared.join(F.broadcast(listed), "sources").select("text_key", "p")  # PATTERNS rows at most
+    listed = F.broadcast(listed) if len(known) <= BROADCAST_ROWS else listed
+    shared = shared.join(listed, "sources").select("text_key", "p")
     rows = rows.join(shared, "text_key", "left").withColumn("p", F.coalesce("p", "s"))
     cell = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(CELLS)).cast("int")
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text_key")

@@ -340,3 +340,11 @@ def test_mix_comes_near_targets(spark, tmp_path):
 
 def test_mix_of_nothing(spark, tmp_path):
     assert queries.QUERIES["op9_source_mixing"](spark, data.write(spark, tmp_path, documents=data.frame(spark, []))).count() == 0
+
+
+def test_mix_routes_every_pattern(spark, monkeypatch):
+    docs = [(k, f"text {k} of these sources", f"s{i:02}") for k in range(1, 2**11) for i in range(11) if k >> i & 1]
+    seen, routed = [], mixing.routed
+    monkeypatch.setattr(mixing, "routed", lambda own, once, quotas: seen.append(once) or routed(own, once, quotas))
+    got = mixing.mixed(spark, spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(docs) and sum(p >= 11 for p in seen[0]) == 2**11 - 12
