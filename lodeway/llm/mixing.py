@@ -190,31 +190,30 @@ def _chosen(spark: SparkSession, scratch: Scratch, rows: DataFrame, cells: DataF
     edge = rows.where(at_end).withColumn("extra", (F.sum("size").over(order) <= F.col("rest")).cast("int"))
     edge = scratch.save(edge)
     every = clear.unionByName(edge)
-    filled = _fillers(spark, every, edge) if few else []
-    fillers = spark.createDataFrame(filled, "p int, s int, doc_id long, text_key long").withColumn("fills", F.lit(1))
-    every = every.join(F.broadcast(fillers), ["p", "s", "doc_id", "text_key"], "left")  # FILLS rows a class at most
+    fillers = _fillers(scratch, every, edge, few).withColumn("fills", F.lit(1))
+    every = every.join(F.broadcast(fillers) if few else fillers, ["p", "s", "doc_id", "text_key"], "left")  # FILLS rows a class at most
     times = F.coalesce("passes", F.lit(0)) + F.greatest("extra", F.coalesce("fills", F.lit(0)))
     return every.withColumn("times", F.least(times, F.lit(PASSES)))
 
 
-def _fillers(spark: SparkSession, every: DataFrame, edge: DataFrame) -> list[tuple]:
+def _fillers(scratch: Scratch, every: DataFrame, edge: DataFrame, few: bool) -> DataFrame:
     """Documents, at most ``FILLS`` a class, each of which fills best what its class still lacks."""
+    near, key = F.broadcast if few else lambda df: df, ["p", "s", "doc_id", "text_key"]
     left = edge.groupBy("p", "s").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
-    lacks = {(r["p"], r["s"]): r["left"] for r in left.collect() if r["left"] > 0}
-    out: list[tuple] = []
+    lacks = scratch.save(left.where("left > 0"))
     free = every.where("extra = 0 and size > 0").select("p", "s", "doc_id", "text_key", "rank", "size")
-    for _ in range(FILLS):
-        if not lacks:
+    out = free.select(key).limit(0)
+    for i in range(FILLS):
+        if lacks.isEmpty():
             break
-        now = F.broadcast(spark.createDataFrame([(*k, v) for k, v in lacks.items()], "p int, s int, left long"))
-        rows = free.join(now, ["p", "s"])
-        if out:
-            rows = rows.join(F.broadcast(spark.createDataFrame(out, "p int, s int, doc_id long, text_key long")), ["p", "s", "doc_id", "text_key"], "left_anti")
+        rows = free.join(near(lacks), ["p", "s"])
+        if i:
+            rows = rows.join(near(out), key, "left_anti")
         gap = F.abs(F.col("size") - F.col("left"))
-        best = rows.where(gap < F.col("left")).groupBy("p", "s").agg(F.min(F.struct(gap.alias("gap"), "rank", "doc_id", "text_key", "size")).alias("b"))
-        found = best.select("p", "s", "b.*").collect()
-        lacks = {(r["p"], r["s"]): left for r in found if (left := lacks[r["p"], r["s"]] - r["size"]) > 0}
-        out += [(r["p"], r["s"], r["doc_id"], r["text_key"]) for r in found]
+        best = rows.where(gap < F.col("left")).groupBy("p", "s").agg(F.min(F.struct(gap.alias("gap"), "rank", "doc_id", "text_key", "size")).alias("b"), F.first("left").alias("left"))
+        found = scratch.save(best.select("p", "s", "b.*", "left"))
+        lacks = found.where("left > size").select("p", "s", (F.col("left") - F.col("size")).alias("left"))
+        out = out.unionByName(found.select(key)) if i else found.select(key)
     return out
 
 

@@ -348,3 +348,11 @@ def test_mix_routes_every_pattern(spark, monkeypatch):
     monkeypatch.setattr(mixing, "routed", lambda own, once, quotas: seen.append(once) or routed(own, once, quotas))
     got = mixing.mixed(spark, spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
     assert len(got) == len(docs) and sum(p >= 11 for p in seen[0]) == 2**11 - 12
+
+
+def test_mix_fills_at_every_size(spark, monkeypatch):
+    df = spark.createDataFrame(mix_documents(), "doc_id long, text string, source string")
+    rows = lambda: sorted(map(repr, mixing.mixed(spark, df).collect()))
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert rows() == want
