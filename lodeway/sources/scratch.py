@@ -1,4 +1,4 @@
-"""Tables that iterative operators write between rounds, in the folder that the session shares."""
+"""Tables that operators write between steps, in the folder that the session shares."""
 
 from __future__ import annotations
 
@@ -9,16 +9,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a DataFrame below ``spark.checkpoint.dir`` and reads it back, which cuts its lineage."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodeway-")
-        spark.sparkContext.setCheckpointDir(base)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where all runs in one process may it be a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lodeway-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def saver(spark: SparkSession, keep: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a DataFrame to the shared folder and reads it back, which cuts its lineage.
+
+    With ``keep`` only the last so many tables stay; older ones are removed as
+    new ones come, for loops that read their last rounds alone.
+    """
+    base, written = shared_dir(spark), []
 
     def save(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        path = f"{base}/round-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        written.append(path)
+        if keep and len(written) > keep:
+            delete(spark, written.pop(0))
         return spark.read.schema(df.schema).parquet(path)
 
     return save
