@@ -7,25 +7,18 @@ survive lost executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from lodeway.sources.scratch import delete, shared_dir
 
 #: ASCII white space, the only separators of ``[^\x20\x09-\x0D]+``.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodeway-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 class Scratch:
     """Tables that one run of an operator writes and may drop again."""
 
@@ -45,8 +38,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of ``save`` that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, df._scratch_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +62,48 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a key filter at most (16 MB), and bits for each of its keys below that.
+FILTER_BITS, KEY_BITS = 1 << 27, 32
+#: Bits of one of Spark's bitmaps.
+BITMAP = 1 << 15
+
+
+def possibly_in(rows: DataFrame, key: str, keys: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """``rows`` with ``flag``: false only where the long column ``key`` is surely not among those of ``keys``.
+
+    The filter is a hashed bitmap that executors build, of ``FILTER_BITS`` at
+    most however many keys there are, so it can be broadcast: wide rows that it
+    clears need no exchange, and an exact join decides on the others.
+    """
+    bits = min(FILTER_BITS, max(BITMAP, 1 << (KEY_BITS * keys.count() - 1).bit_length()))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = keys.select(cell(key).alias("_c")).groupBy(F.bitmap_bucket_number("_c").alias("_bucket"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_c")).alias("_bits"))
+    rows = rows.withColumn("_c", cell(key)).withColumns({"_bucket": F.bitmap_bucket_number("_c"), "_at": F.bitmap_bit_position("_c")})
+    rows = rows.join(F.broadcast(maps), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (F.col("_at") % 8 + 1).cast("int"))) > 0
+    return rows.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_c", "_bucket", "_at", "_bits")
+
+
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` of a saved table with ``name``: their number from 0 within each group of ``by``.
+
+    Rows are numbered inside their partition and shifted by the group's rows in
+    earlier ones, so that no group is gathered in one task.
+    """
+    rows = rows.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    inside = W.partitionBy(*by, "_pid").orderBy("_mid")
+    rows = rows.withColumn("_in", F.row_number().over(inside))
+    earlier = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "_pid").agg(F.max("_in").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    counts = counts.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_pid").alias("_of_pid"), "_before")
+    same = F.col("_pid") == F.col("_of_pid")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(counts, same).withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_pid", "_mid", "_in", "_before", "_of_pid", *(f"_of_{c}" for c in by))
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` of every node of the undirected ``edges``.
 

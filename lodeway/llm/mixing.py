@@ -6,7 +6,9 @@ of the sources; each further repetition of a text, and of a source's documents,
 costs one more, so that repeats spread evenly. The network has a node for each
 source and pattern, however rare. The flow of a pattern to a source becomes whole passes
 over its documents and a seeded part of one more, which a histogram of seeded
-hashes finds without sorting a source.
+hashes finds without sorting a source. What is decided about a class of
+documents is one row, so documents are taken by a function of themselves and
+that row, and their texts need not be moved.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodeway.llm.common import SPACE, Scratch
+from lodeway.llm.common import SPACE, Scratch, numbered, possibly_in
 
 WEIGHTS = (1, 2, 3)
 #: Passes over a document at most.
@@ -27,8 +29,8 @@ PASSES = 3
 TIERS = 8
 #: Cells of the histogram of seeded hashes.
 CELLS = 4096
-#: Documents of a class that are picked by their size.
-FILLS = 4
+#: Words that the last documents of a class, picked by their size, are to sum up to at most; more are left to the order of the hash.
+FILL_WORDS = 1 << 16
 #: Rows of classes up to which their decisions are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -164,101 +166,148 @@ def routed(own: dict[tuple[int, int], int], unique: dict[int, int], quotas: dict
     return {k: sum(map(net.flow, es)) for k, es in edges.items()}
 
 
-def _chosen(spark: SparkSession, scratch: Scratch, rows: DataFrame, cells: DataFrame, given: dict, own: dict) -> DataFrame:
-    """``rows`` with ``times``, the passes over each, so that every class (p, s) gives its ``given`` words.
+ID = ["doc_id", "text_key"]
 
-    All documents get the whole passes. One more goes to those whose seeded hash
-    lies in the cells that the rest covers, then, within the next cell, in the
-    order of the hash as far as they fit, and to a few documents of the class
-    that fill best what is left.
+
+def _fill(left: int, items: list[tuple]) -> list[tuple]:
+    """Of ``items`` (size, ...) some whose sizes sum up as near to ``left`` as they can, exactly, by a table of reachable sums."""
+    most = min(left, FILL_WORDS) * 2
+    reach, before = 1, []
+    for size, *_ in items:
+        before.append(reach)
+        if size <= most:
+            reach |= reach << size
+    reach &= (1 << most + 1) - 1
+    sums = [x for d in range(left + 1) for x in ((left - d, left + d) if d else (left,)) if 0 <= x <= most and reach >> x & 1][:1]
+    at, out = sums[0] if sums else 0, []
+    for item, old in zip(reversed(items), reversed(before)):
+        if not old >> at & 1:
+            at -= item[0]
+            out.append(item)
+    return out
+
+
+def _decided(spark: SparkSession, scratch: Scratch, units: DataFrame, given: dict, own: dict) -> DataFrame:
+    """One row a class (p, s): ``passes`` over all its documents, and which get one more.
+
+    These are those below the cell ``last`` of the seeded hash, within that
+    cell those up to ``cut`` in the order of the hash, and the ``fills``;
+    of the rows that are all alike ``part``, ``some`` get one. ``units`` are
+    the documents with their number of rows ``n``.
     """
+    classes = "p int, s int, passes int, part long"
     decided = [(*k, min(PASSES, f // own[k]), f - own[k] * min(PASSES, f // own[k])) for k, f in sorted(given.items()) if own[k]]
     few = len(decided) <= BROADCAST_ROWS
-    plan = spark.createDataFrame(decided, "p int, s int, passes int, part long")
-    upto = F.sum("size").over(W.partitionBy("p", "s").orderBy("cell"))
-    ends = cells.withColumn("upto", upto).join(F.broadcast(plan) if few else plan, ["p", "s"])
-    ends = ends.where("upto > part and upto - size <= part")
-    ends = ends.select("p", "s", "passes", F.col("cell").alias("last"), (F.col("part") - F.col("upto") + F.col("size")).alias("rest"))
-    if few:  # a row of each class
-        ends = F.broadcast(spark.createDataFrame([tuple(r) for r in ends.collect()], "p int, s int, passes int, last int, rest long"))
-    else:
-        ends = scratch.save(ends)
-    rows = rows.join(ends, ["p", "s"], "left")
-    at_end = F.col("cell").eqNullSafe(F.col("last"))
-    clear = rows.where(~at_end).withColumn("extra", F.coalesce(F.col("cell") < F.col("last"), F.lit(False)).cast("int"))
-    order = W.partitionBy("p", "s").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    edge = rows.where(at_end).withColumn("extra", (F.sum("size").over(order) <= F.col("rest")).cast("int"))
-    edge = scratch.save(edge)
-    every = clear.unionByName(edge)
-    fillers = _fillers(scratch, every, edge, few).withColumn("fills", F.lit(1))
-    every = every.join(F.broadcast(fillers) if few else fillers, ["p", "s", "doc_id", "text_key"], "left")  # FILLS rows a class at most
-    times = F.coalesce("passes", F.lit(0)) + F.greatest("extra", F.coalesce("fills", F.lit(0)))
-    return every.withColumn("times", F.least(times, F.lit(PASSES)))
-
-
-def _fillers(scratch: Scratch, every: DataFrame, edge: DataFrame, few: bool) -> DataFrame:
-    """Documents, at most ``FILLS`` a class, each of which fills best what its class still lacks."""
-    near, key = F.broadcast if few else lambda df: df, ["p", "s", "doc_id", "text_key"]
-    left = edge.groupBy("p", "s").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
-    lacks = scratch.save(left.where("left > 0"))
-    free = every.where("extra = 0 and size > 0").select("p", "s", "doc_id", "text_key", "rank", "size")
-    out = free.select(key).limit(0)
-    for i in range(FILLS):
-        if lacks.isEmpty():
-            break
-        rows = free.join(near(lacks), ["p", "s"])
-        if i:
-            rows = rows.join(near(out), key, "left_anti")
-        gap = F.abs(F.col("size") - F.col("left"))
-        best = rows.where(gap < F.col("left")).groupBy("p", "s").agg(F.min(F.struct(gap.alias("gap"), "rank", "doc_id", "text_key", "size")).alias("b"), F.first("left").alias("left"))
-        found = scratch.save(best.select("p", "s", "b.*", "left"))
-        lacks = found.where("left > size").select("p", "s", (F.col("left") - F.col("size")).alias("left"))
-        out = out.unionByName(found.select(key)) if i else found.select(key)
-    return out
+    near = F.broadcast if few else lambda df: df
+    plan = spark.createDataFrame(decided, classes)
+    words = F.col("size") * F.col("n")
+    cells = units.groupBy("p", "s", "cell").agg(F.sum(words).alias("words"))
+    upto = F.sum("words").over(W.partitionBy("p", "s").orderBy("cell"))  # CELLS rows a class at most
+    ends = cells.withColumn("upto", upto).join(near(plan), ["p", "s"]).where("upto > part and upto - words <= part")
+    ends = scratch.save(ends.select("p", "s", "passes", F.col("cell").alias("last"), (F.col("part") - F.col("upto") + F.col("words")).alias("rest")))
+    edge = units.join(near(ends), ["p", "s"]).where("cell = last")
+    order = W.partitionBy("p", "s").orderBy("rank", *ID).rowsBetween(W.unboundedPreceding, 0)
+    edge = scratch.save(edge.select("p", "s", "rank", *ID, "size", "n", "rest", F.sum(words).over(order).alias("sum")))
+    place = F.struct("rank", *ID)
+    fits = F.col("sum") <= F.col("rest")
+    cuts = edge.groupBy("p", "s").agg(
+        F.max(F.when(fits, place)).alias("cut"), F.max(F.when(fits, F.col("sum")).otherwise(0)).alias("got"),
+        F.min(F.when(~fits, F.struct("sum", "rank", *ID, "size", "n"))).alias("next"),
+    )
+    # Of the first document that does not fit, as many of its equal rows as do.
+    some = F.floor((F.col("rest") - F.col("got")) / F.col("next.size"))
+    ends = ends.join(near(cuts), ["p", "s"])
+    ends = ends.withColumns({"some": F.coalesce(F.when(F.col("next.n") > 1, some), F.lit(0)).cast("int")})
+    ends = ends.withColumns({"part": F.when(F.col("some") > 0, F.struct("next.doc_id", "next.text_key")), "lack": F.col("rest") - F.col("got") - F.coalesce(F.col("some") * F.col("next.size"), F.lit(0))})
+    ends = scratch.save(ends.select("p", "s", "passes", "last", "cut", "part", "some", "lack"))
 
+    # Two documents of each size class, of what is still free, to fill what lacks.
+    free = units.join(near(ends.where("lack > 0")), ["p", "s"]).where(~_more(F.col("cell"), place) & (F.col("size") > 0) & (F.col("n") == 1))
+    free = free.where("size < 2 * lack")
+    found = free.groupBy("p", "s", F.floor(F.log2("size") * 4).alias("class")).agg(
+        F.min(F.struct("rank", "size", *ID)).alias("a"), F.max(F.struct("rank", "size", *ID)).alias("b"), F.first("lack").alias("lack")
+    )
+    picked: dict[tuple, tuple[int, set]] = {}
+    for r in found.toLocalIterator():  # about a hundred rows a class at most
+        picked.setdefault((r["p"], r["s"]), (r["lack"], set()))[1].update((x["size"], x["doc_id"], x["text_key"]) for x in (r["a"], r["b"]))
+    rows = [(*k, [(d, t) for _, d, t in _fill(lack, sorted(items, key=repr))]) for k, (lack, items) in sorted(picked.items())]
+    fills = spark.createDataFrame(rows, "p int, s int, fills array<struct<doc_id:long,text_key:long>>")
+    return scratch.save(ends.drop("lack").join(near(fills), ["p", "s"], "left"))
 
-def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``(doc_id, text_key, source, size, source_size, target, taken)`` for every row of ``docs``.
 
-    ``size`` counts the words between ASCII white space (null text: 0),
-    ``taken`` is a multiple of it, at most ``PASSES`` times. The sources, in
-    code point order and null last, weigh 1, 2, 3, repeating. A source's taken
-    words miss its target by less than a document. The choice depends
-    on ``seed``, doc_id and text alone; rows alike in both may be taken
-    differently, their number not. Sources and patterns are held on the driver, one row
-    each. An empty table gives an empty result; other columns are ignored.
-    """
-    scratch = Scratch(spark, "mixing")
+def _more(cell, place):
+    """Whether a document of a class gets one more pass by its hash."""
+    return (cell < F.col("last")) | (cell == F.col("last")) & F.coalesce(place <= F.col("cut"), F.lit(False))
+
+
+class Mix:
+    """What is decided about all documents: sources, shared texts, and a row for each class."""
+
+    def __init__(self, scratch: Scratch, seed: int, names: DataFrame, shared: DataFrame, classes: DataFrame, few: bool) -> None:
+        self.scratch, self.seed, self.names, self.shared, self.classes, self.few = scratch, seed, names, shared, classes, few
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (doc_id, text_key, source, ...) with source_size, target and ``times``, how often each is taken.
+
+        Rows move only if their text may be one that several sources share, or
+        if some but not all of several equal rows are taken.
+        """
+        near = F.broadcast if self.few else lambda df: df
+        same = F.col("source").eqNullSafe(F.col("name"))
+        rows = rows.join(near(self.names.withColumnRenamed("source", "name")), same).drop("name")
+        rows = possibly_in(rows, "text_key", self.shared.select("text_key"))
+        own = rows.where("not _maybe").withColumn("p", F.col("s"))
+        both = rows.where("_maybe").join(self.shared, "text_key", "left").withColumn("p", F.coalesce("p", "s"))
+        cell, rank = _seeded(self.seed)
+        rows = own.unionByName(both).join(near(self.classes), ["p", "s"], "left")
+        more = _more(cell, F.struct(rank.alias("rank"), *ID)) | F.exists("fills", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id")) & (x["text_key"] == F.col("text_key")))
+        split = F.coalesce(F.col("part.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("part.text_key") == F.col("text_key")), F.lit(False))
+        rows = rows.withColumns({"_split": split, "_more": F.coalesce(more, F.lit(False))})
+        out = rows.where("not _split")
+        if not self.classes.where("some > 0").isEmpty():
+            alike = self.scratch.save(rows.where("_split"))
+            alike = numbered(alike, ["p", "s"], "_nth").withColumn("_more", F.col("_nth") < F.col("some")).drop("_nth")
+            out = out.unionByName(alike)
+        times = F.least(F.coalesce("passes", F.lit(0)) + F.col("_more").cast("int"), F.lit(PASSES))
+        return out.withColumn("times", times).drop("p", "s", "_maybe", "passes", "last", "cut", "part", "some", "fills", "_split", "_more")
+
+
+def _seeded(seed: int):
+    """Cell and rank of a document."""
+    cell = F.pmod(F.xxhash64(F.lit(seed), *ID), F.lit(CELLS)).cast("int")
+    return cell, F.xxhash64(F.lit(seed + 1), *ID)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, source, size)``, the size in words."""
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE, -1), "")).cast("long")
-    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "source", n_words.alias("size")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "source", n_words.alias("size"))
+
+
+def planned(spark: SparkSession, rows: DataFrame, seed: int = 0) -> Mix:
+    """The mix of the documents ``rows`` (as ``measured`` gives them, saved)."""
+    scratch = Scratch(spark, "mixing")
     sizes = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goal = targets(sizes)
     number = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
-    names = spark.createDataFrame(
-        [(s, i, sizes[s], goal[s]) for s, i in number.items()], "source string, s int, source_size long, target double"
-    )
+    names = spark.createDataFrame([(s, i, sizes[s], goal[s]) for s, i in number.items()], "source string, s int, source_size long, target double")
     few = len(number) <= BROADCAST_ROWS
-    names = F.broadcast(names) if few else names
+    numbers = names.select(F.col("source").alias("name"), "s")
+    rows = rows.join(F.broadcast(numbers) if few else numbers, F.col("source").eqNullSafe(F.col("name")))
+    units = scratch.save(rows.groupBy("s", *ID).agg(F.first("size").alias("size"), F.count("*").alias("n")))
 
     # Patterns: texts of one source stay under its own number, from 0; shared sets get numbers above.
-    same = F.col("source").eqNullSafe(F.col("name"))
-    rows = rows.join(names.withColumnRenamed("source", "name"), same).drop("name")
-    texts = rows.groupBy("text_key").agg(F.array_sort(F.collect_set("s")).alias("sources"), F.max("size").alias("once"))
-    shared = texts.where(F.size("sources") > 1)
-    common = shared.groupBy("sources").agg(F.sum("once").alias("once"), F.count("*").alias("n"))
-    common = common.orderBy(F.desc("n"), "sources").collect()
+    texts = units.groupBy("text_key").agg(F.array_sort(F.collect_set("s")).alias("sources"), F.max("size").alias("once")).where(F.size("sources") > 1)
+    texts = scratch.save(texts)
+    common = texts.groupBy("sources").agg(F.sum("once").alias("once"), F.count("*").alias("n")).orderBy(F.desc("n"), "sources").collect()
     base = len(number)
     known = {tuple(r["sources"]): base + i for i, r in enumerate(common)}
     listed = spark.createDataFrame([(list(k), v) for k, v in known.items()], "sources array<int>, p int")
-    listed = F.broadcast(listed) if len(known) <= BROADCAST_ROWS else listed
-    shared = shared.join(listed, "sources").select("text_key", "p")
-    rows = rows.join(shared, "text_key", "left").withColumn("p", F.coalesce("p", "s"))
-    cell = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(CELLS)).cast("int")
-    order = F.xxhash64(F.lit(seed + 1), "doc_id", "text_key")
-    rows = scratch.save(rows.withColumn("cell", cell).withColumn("rank", order))
-
-    cells = scratch.save(rows.groupBy("p", "s", "cell").agg(F.sum("size").alias("size")))
-    own = {(r["p"], r["s"]): r["size"] for r in cells.groupBy("p", "s").agg(F.sum("size").alias("size")).collect()}
+    shared = scratch.save(texts.join(F.broadcast(listed) if len(known) <= BROADCAST_ROWS else listed, "sources").select("text_key", "p"))
+    cell, rank = _seeded(seed)
+    units = units.join(shared, "text_key", "left").withColumns({"p": F.coalesce("p", "s"), "cell": cell, "rank": rank})
+    units = scratch.save(units)
+    own = {(r["p"], r["s"]): r["words"] for r in units.groupBy("p", "s").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     once = {p: 0 for p, _ in own}
     for (p, _), size in own.items():
         if p < base:
@@ -267,14 +316,32 @@ def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     given = routed(own, once, {i: round(goal[s]) for s, i in number.items()})
 
     # Texts of several sources first; a source's own texts make up for what whole documents missed.
-    shared_part = _chosen(spark, scratch, rows.where(F.col("p") >= base), cells, {k: f for k, f in given.items() if k[0] >= base}, own)
+    classes = _decided(spark, scratch, units.where(F.col("p") >= base), {k: f for k, f in given.items() if k[0] >= base}, own)
     missed = {s: goal[name] for name, s in number.items()}
     if common:
-        shared_part = scratch.save(shared_part)
-        for r in shared_part.groupBy("s").agg(F.sum(F.col("size") * F.col("times")).alias("got")).collect():
-            missed[r["s"]] -= r["got"]
+        mix = Mix(scratch, seed, names, shared, classes, few)
+        some = rows.join(shared.select("text_key"), "text_key", "left_semi").select("doc_id", "text_key", "source", "size")
+        got = mix.taken(scratch.save(some)).groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("got"))
+        for r in got.collect():
+            missed[number[r["source"]]] -= r["got"]
     rest = {(s, s): max(0, min(PASSES * own[s, s], round(missed[s]))) for s in number.values() if (s, s) in own}
-    own_part = _chosen(spark, scratch, rows.where(F.col("p") < base), cells, rest, own)
-    every = own_part.unionByName(shared_part)
+    classes = classes.unionByName(_decided(spark, scratch, units.where(F.col("p") < base), rest, own))
+    return Mix(scratch, seed, names, shared, scratch.save(classes), few and len(given) <= BROADCAST_ROWS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
+    """``(doc_id, text_key, source, size, source_size, target, taken, times)`` for every row of ``docs``.
+
+    ``size`` counts the words between ASCII white space (null text: 0),
+    ``taken`` is ``times`` it, at most ``PASSES`` times. The sources, in
+    code point order and null last, weigh 1, 2, 3, repeating. A source's taken
+    words miss its target by less than its smallest document that is not taken
+    fully, and by far less where it has documents of many sizes. The choice depends
+    on ``seed``, doc_id and text alone; rows alike in both may be taken
+    differently, their number not. Sources and patterns are held on the driver, one row
+    each. An empty table gives an empty result; other columns are ignored.
+    """
+    rows = Scratch(spark, "mixing").save(measured(docs))
+    out = planned(spark, rows, seed).taken(rows)
     taken = (F.col("size") * F.col("times")).cast("long")
-    return every.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), "times")
+    return out.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), "times")
