@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeway.llm import decontaminate, mixing, nearcopies, sharding, toxicity
-from lodeway.llm.common import Scratch, table
+from lodeway.llm.common import Scratch, possibly_in, table
 from lodeway.llm.queries import HELD_OUT
 
 #: Score from which a document is rejected.
@@ -19,7 +19,8 @@ TOXIC = 0.7
 SHARDS = 8
 #: Near copies: words of a shingle, differing bits of fingerprints that make a candidate, and the share of common
 #: shingles from which a candidate is a near copy.
-SHINGLE, NEAR_BITS, ALIKE = 5, 8, 0.8
+SHINGLE, NEAR_BITS, ALIKE = 5, 4, 0.8
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,43 +30,56 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("toxicity") < TOXIC).select("_doc.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as ``_doc``, with a narrow identity: doc_id as a long, and the hash of the text."""
+    key = {"_d": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")}
+    return docs.select(F.struct(*docs.columns).alias("_doc"), *(c.alias(k) for k, c in key.items()))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``_keyed`` documents apart from those ``gone`` (_d, _t): such as are surely not among them, and the rest.
+
+    Only the rest, about as many as are gone, is exchanged; the texts of the others stay where they are.
+    """
+    keyed = _keyed(docs).withColumn("_i", F.xxhash64("_d", "_t"))
+    keyed = possibly_in(keyed, "_i", gone.select(F.xxhash64("_d", "_t").alias("_i")))
+    named = gone.select(F.col("_d").alias("_gd"), F.col("_t").alias("_gt")).distinct()
+    same = F.col("_d").eqNullSafe(F.col("_gd")) & (F.col("_t") == F.col("_gt"))
+    return keyed.where("not _maybe"), keyed.where("_maybe").join(named, same, "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each near-duplicate group, once; rows without doc_id stay."""
-    found = nearcopies.near_copies(spark, docs.where("doc_id is not null"), ALIKE, SHINGLE, NEAR_BITS)
-    kept = Scratch(spark, "kept").save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
-    rows = docs.join(kept, "doc_id")
-    out = rows.where("_n = 1").select(*docs.columns)
-    repeated = kept.where("_n > 1")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns))
-    return out.unionByName(docs.where("doc_id is null"))
+    found = nearcopies.near_copies(spark, docs.where("doc_id is not null").select("doc_id", "text"), ALIKE, SHINGLE, NEAR_BITS)
+    found = Scratch(spark, "copies").save(found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "kept"))
+    gone = found.where("not kept").select("_d", "_t").distinct()
+    again = Scratch(spark, "copies").save(found.where("kept").groupBy("_d", "_t").agg(F.count("*").alias("_n")).where("_n > 1").select("_d", "_t"))
+    clear, rest = _without(docs, gone)
+    if not again.isEmpty():  # rows alike in doc_id and text, of which one stays
+        one, more = _without(clear.unionByName(rest).select("_doc.*"), again)
+        repeated = _keyed(docs).join(again, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
+        return one.select("_doc.*").unionByName(more.select("_doc.*")).unionByName(repeated.select("_doc.*"))
+    return clear.select("_doc.*").unionByName(rest.select("_doc.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items cover less than a twentieth."""
-    found = decontaminate.benchmark_overlap(spark, docs, table(spark, sf_dir, "benchmark")).where(decontaminate.contaminated())
-    found = Scratch(spark, "contaminated").save(found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct())
-    same = docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_t"])
-    return docs.join(found, same, "left_anti").select(*docs.columns)
+    """Documents without a whole benchmark window, and of which shorter items cover less than a twentieth."""
+    found = decontaminate.benchmark_overlap(spark, docs, table(spark, sf_dir, "benchmark"))
+    found = Scratch(spark, "overlap").save(found)  # else a filter on it would be derived twice
+    hit = decontaminate.contaminated() | (F.col("n_hit") >= decontaminate.WINDOW)
+    gone = Scratch(spark, "contaminated").save(found.where(hit).select(F.col("doc_id").cast("long").alias("_d"), F.col("text_key").alias("_t")).distinct())
+    clear, rest = _without(docs, gone)
+    return clear.select("_doc.*").unionByName(rest.select("_doc.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    key = ["_d", "_t", "_s"]
-    found = mixing.mixed(spark, docs).where("times > 0 and size > 0")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("source").alias("_s"), "times")
-    found = Scratch(spark, "mixed").save(found.groupBy(*key).agg(F.sum("times").cast("int").alias("_times"), F.count("*").alias("_n")))
-    keyed = docs.withColumns({"_k": F.col("doc_id").cast("long"), "_x": F.xxhash64("text")})
-
-    def joined(some: DataFrame) -> DataFrame:
-        same = F.col("_k").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
-        return keyed.join(some, same)
-
-    out = joined(found.where("_n = 1"))
-    repeated = found.where("_n > 1")
-    if not repeated.isEmpty():  # rows alike share what they are taken
-        out = out.unionByName(joined(repeated).dropDuplicates(key))
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Every document as many times as the mix takes it; documents without words are not taken."""
+    mix = mixing.planned(spark, Scratch(spark, "mixed").save(mixing.measured(docs)))
+    rows = docs.where(F.col("text").rlike(WORD)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "source", F.struct(*docs.columns).alias("_doc")
+    )
+    taken = mix.taken(rows).where("times > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_again")).select("_doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
