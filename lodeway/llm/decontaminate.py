@@ -108,10 +108,17 @@ def _hits(ws: Column, lengths: list[int], members: dict[int, list[int]] | None)
 
         return F.transform(packed, one)
 
+    def least(packed: Column, n: int) -> Column:
+        """Fingerprints of all windows; none are looked for where no run of words is a fingerprint of the benchmark."""
+        if members is None:
+            return _least(packed)
+        known = F.exists(packed, lambda x: _hash(x).isin(members[n]))
+        return F.when(known, _least(packed)).otherwise(F.array().cast("array<long>"))
+
     parts = []
     for n in lengths:
         if n == WINDOW:
-            parts.append(told(kept(F.array_distinct(let(_packed(ws), _least)), n), n, WIDTH - 1))
+            parts.append(told(kept(F.array_distinct(let(_packed(ws), lambda g: least(g, WINDOW))), n), n, WIDTH - 1))
         else:
             parts.append(told(kept(_packed(ws, n), n), n, 0))
     return F.concat(*parts)
