@@ -157,7 +157,7 @@ def test_shards_have_equal_bytes(spark, tmp_path, copies):
 
 def test_tasks_share_a_text_of_most_rows(spark):
     docs = data.frame(spark, [(i, "the same text") for i in range(900)] + [(1000 + i, f"text {i}") for i in range(100)])
-    got = sharding.sharded(spark, docs, 3, columns=["doc_id"]).withColumn("part", F.spark_partition_id()).collect()
+    got = sharding.sharded(spark, docs, 3).withColumn("part", F.spark_partition_id()).collect()
     rows, of_part = {}, {}
     for r in got:
         rows.setdefault(r["shard"], []).append(r["slot"])
@@ -167,6 +167,22 @@ def test_tasks_share_a_text_of_most_rows(spark):
     assert sum(of_part.values()) == 900 and max(of_part.values()) <= 250
 
 
+@pytest.mark.parametrize("rows", [[(1, "x")] * 800, [(1, "same text")] * 500 + [(i, "same text") for i in range(300)] + [(i, f"t{i}") for i in range(90)] + [(None, "é" * 40_000)], [(None, None)] * 21])
+def test_law_of_bytes_holds_for_equal_rows(spark, tmp_path, rows):
+    """As plain counting has it: in the order of the keys, shard i starts where i eighths of the bytes are below."""
+    folder = data.write(spark, tmp_path, documents=data.frame(spark, rows))
+    got = queries.QUERIES["op4_histogram_sharding"](spark, folder).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert sorted((repr(r["doc_id"]), r["size"]) for r in got) == sorted((repr(d), size(t)) for d, t in rows)
+    total, slots = [0] * 8, [[] for _ in range(8)]
+    for r in got:
+        total[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    mean, largest = sum(total) / 8, max(size(t) for _, t in rows)
+    assert all(abs(sum(total[: i + 1]) - mean * (i + 1)) <= largest + 0.0005 * mean for i in range(8)), total
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "x")], [(9, "same")] * 30])
 def test_shards_of_awkward_tables(spark, tmp_path, rows):
     folder = data.write(spark, tmp_path, documents=data.frame(spark, rows))
