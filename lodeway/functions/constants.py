@@ -179,8 +179,11 @@ TRAITS = {
         "static": [r"(?m)^\s*static\s+"],
     },
 }
+# Marks of deprecated code and of tests, and what declares a name.
 DEPRECATED = r"(?i)@deprecated\b|\bDEPRECATED\b|#\[deprecated\b|\[Obsolete\b|@available\([^)]*deprecated"
 TEST_BASENAME = (
     r"^(test_|conftest)|(_test\.py|_test\.go|tests?\.java|tests?\.kt|tests?\.scala|test\.rb|_spec\.rb|tests?\.cs)$|\.test\.|\.spec\."
 )
 TEST_FOLDER = r"/(tests|test|__tests__|spec|specs)/"
+DECLARING = "def class function interface type enum fn func const let var".split()
+COMMENT_MARKS = ["#", "//", "/*", "*", "<!--", '"""', "'''"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,7 +41,7 @@ def pagerank(ranked: DataFrame, links: DataFrame, focus_files: list[str] = (), f
     ``save`` writes and rereads the state of a round, which cuts its lineage;
     rounds stop when scores move by less than ``tolerance`` a node.
     """
-    save = save or saver(ranked.sparkSession)
+    save, written = save or saver(ranked.sparkSession), saver(ranked.sparkSession, keep=2)  # of the rounds only the last two stay
     bonus = F.lit(1.0)
     if focus_files:
         bonus = bonus + F.when(F.col("file").rlike("|".join(f"\\Q{f}\\E" for f in focus_files)), 10.0).otherwise(0.0)
@@ -55,17 +55,18 @@ def pagerank(ranked: DataFrame, links: DataFrame, focus_files: list[str] = (), f
     shares = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
     base, shares = save(base), save(shares)
     now = base.select("node", "p", "dangling", F.col("start").alias("score"))
-    n = base.count()
+    n, lost = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("start"))), F.lit(0.0)).alias("lost")).first()
     for _ in range(rounds):
         moved = now.join(shares.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
-        lost = now.agg(F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost"))
-        new = now.join(moved, "node", "left").crossJoin(F.broadcast(lost))
-        score = ALPHA * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - ALPHA) * F.col("p")
-        new = new.select("node", "p", "dangling", score.alias("score"), F.col("score").alias("was"))
-        new = save(new)
-        gap = new.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("g")).first()["g"]
-        now = new.drop("was")
-        if gap is None or gap < n * tolerance:
+        score = ALPHA * (F.coalesce("in", F.lit(0.0)) + F.lit(float(lost)) * F.col("p")) + (1 - ALPHA) * F.col("p")
+        new = now.join(moved, "node", "left").select("node", "p", "dangling", score.alias("score"), F.col("score").alias("was"))
+        seen = Observation()  # what the next round needs is summed as this one is written
+        new = new.observe(
+            seen, F.coalesce(F.sum(F.abs(F.col("score") - F.col("was"))), F.lit(0.0)).alias("gap"),
+            F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"),
+        )
+        now, lost = written(new).drop("was"), seen.get["lost"]
+        if seen.get["gap"] < n * tolerance:
             break
     return now.select("node", "score")
 

@@ -81,9 +81,10 @@ def subgraph(cap: int = 20, hub: int = 10) -> str:
       k1 as ({ranked.format(open='o1')})"""
 
 
-def pagerank(rounds: int) -> str:
+def pagerank(tolerance: float) -> str:
+    """Rounds until the scores move by less than ``tolerance`` a node, as the operator does by default."""
     a = rank.ALPHA
-    out = f"""{KG}, {FANOUT}, ranked as materialized (select e.file, e.name, max(type) as type from entities e where type in ({quoted(K.MAP_TYPES)})
+    out = f"""{KG.replace("with ", "with recursive ", 1)}, {FANOUT}, ranked as materialized (select e.file, e.name, max(type) as type from entities e where type in ({quoted(K.MAP_TYPES)})
         and exists (select 1 from relations r where relation = 'defines' and r.from_name = r.file and r.file = e.file and r.to_name = e.name) group by 1, 2),
       refs as (select r.file, from_name, to_name, count(*) as weight from relations r join fanout on name = to_name and files < {rank.HUB} where relation <> 'defines' group by 1, 2, 3),
       picked as (select refs.*, d.file as def_file, row_number() over (partition by refs.file, from_name, to_name order by d.file = refs.file desc, d.file) as r
@@ -92,11 +93,15 @@ def pagerank(rounds: int) -> str:
       outs as materialized (select src, sum(weight) as total from links group by src),
       base0 as (select file || chr(10) || name as node, 1.0 + case when contains(file, 'svc/') then 10.0 else 0.0 end + case when name = '{Q.NAME}' then 50.0 else 0.0 end as p from ranked),
       base as materialized (select node, cast(p as double) / (select sum(p) from base0) as p, total is null as dangling from base0 left join outs on src = node),
-      s0 as materialized (select node, 1.0::double / (select count(*) from base) as score from base)"""
-    for i in range(rounds):
-        out += f""", m{i} as materialized (select dst as node, sum(score * weight / total) as "in" from links join outs using (src) join s{i} on s{i}.node = src group by dst),
-      s{i + 1} as materialized (select base.node, {a} * (coalesce("in", 0) + (select sum(score) from s{i} join base using (node) where dangling) * p) + {1 - a} * p as score from base left join m{i} using (node))"""
-    return out + f" select node, round(score * 1e6, 3) as score from s{rounds}"
+      walk(i, node, p, dangling, score, gap) as (
+        select 0, node, p, dangling, 1.0::double / (select count(*) from base), 1e9::double from base
+        union all (with now as (select * from walk where gap >= {tolerance} * (select count(*) from base)),
+          moved as (select dst as node, sum(score * weight / total) as "in" from links join outs using (src) join now on now.node = src group by dst),
+          new as (select i + 1 as i, node, p, dangling, {a} * (coalesce("in", 0) + (select coalesce(sum(score), 0) from now where dangling) * p) + {1 - a} * p as score, score as was
+            from now left join moved using (node))
+          select i, node, p, dangling, score, sum(abs(score - was)) over () from new))
+      select node, round(score * 1e6, 3) as score from walk where i = (select max(i) from walk)"""
+    return out
 
 
 def like_literals(column: str, literals: list[str]) -> str:
@@ -177,7 +182,7 @@ ORACLES: dict[str, str] = {
     "subgraph_nodes": f"""{subgraph()} select '{Q.START}' as name, cast(0 as bigint) as hop, case when (select max(n) from k0) > 20 then 'truncated' else 'expanded' end as state
       union all select node, 1, 'hub' from hubs union all select o1.node, 1, case when coalesce(max(n), 0) > 20 then 'truncated' else 'expanded' end from o1 left join k1 on o1.node = k1.node group by o1.node""",
     "hub_names": f"{KG}, {FANOUT} select name, files from fanout where files >= 10",
-    "pagerank": pagerank(Q.PAGERANK_ROUNDS),
+    "pagerank": pagerank(1e-6),
     "dead_code": f"""{KG} select file, name, type, line_start from entities e where type in ({quoted(K.DEAD_TYPES)}) and name not in (select to_name from relations where relation in ({quoted(K.REFERENCES)}))
       and not (description ilike 'Template %') and not (description ilike 'JSX component reference%') and name not in ({quoted(K.FRAMEWORK_METHODS)})
       and file not like 'app/crm/machinery/%' and file not like 'tests/%'""",

@@ -257,15 +257,12 @@ def hub_names(spark, d):
     return traverse.fanout(graph(spark, d)[0]).where("files >= 10")
 
 
-PAGERANK_ROUNDS = 4
-
-
 @query
 def pagerank(spark, d):
     save = saver(spark)
     entities, relations = map(save, graph(spark, d))
     ranked = save(rank.nodes(entities, relations))
-    scores = rank.pagerank(ranked, rank.edges(ranked, entities, relations), ["svc/"], [NAME], rounds=PAGERANK_ROUNDS, tolerance=0.0, save=save)
+    scores = rank.pagerank(ranked, rank.edges(ranked, entities, relations), ["svc/"], [NAME])
     return scores.select("node", F.round(F.col("score") * 1e6, 3).alias("score"))
 
 
@@ -275,7 +272,7 @@ def repo_map(spark, d):
     save = saver(spark)
     entities, relations = map(save, graph(spark, d))
     ranked = save(rank.nodes(entities, relations))
-    scores = rank.pagerank(ranked, rank.edges(ranked, entities, relations), save=save)
+    scores = rank.pagerank(ranked, rank.edges(ranked, entities, relations))
     return rank.budgeted(ranked, scores, tokens=500)
 
 

@@ -57,10 +57,9 @@ def test_dead_code_verified_over_all_sources(spark, duck):
     texts = [t for t, in duck.sql("select text from documents where text is not null").fetchall()]
     names = {w for t in texts for w in re.findall("[a-z]{4,}", t.lower())} - set(K.FRAMEWORK_METHODS)
     alive = set()
-    for (text,) in duck.sql("select text from documents where text is not null").fetchall():
+    for text in texts:
         for line in text.split("\n"):
-            if not re.search(analytics.COMMENT, line, re.A):
-                for word in names & set(re.findall(r"[\w$]+", line, re.A)):
-                    if not re.search(analytics.DEFINITION.replace("NAME", re.escape(word)), line, re.A):
-                        alive.add(word)
+            if not line.lstrip(" \t\n\x0b\f\r").startswith(tuple(K.COMMENT_MARKS)):
+                declared = {w for p in analytics.DECLARED for w in re.findall(p, line, re.A)}
+                alive |= names & set(re.findall(r"[\w$]+", line, re.A)) - declared
     assert {r["name"] for r in QUERIES["dead_code_verified"](spark, FOLDER).collect()} == names - alive
