@@ -28,6 +28,20 @@ def tokens(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(rest)
 
 
+def query_terms(query: str) -> list[str]:
+    """``tokens`` of a query text, on the driver."""
+    spaced = re.sub(r"[_/\\.\-]", " ", re.sub("([a-z0-9])([A-Z])", r"\1 \2", query)).lower()
+    found = [t for t in re.findall("[A-Za-zА-Яа-я0-9]+", spaced) if len(t) > 1]
+    whole = query.strip(" ").lower()
+    return found or ([whole] if whole else [])
+
+
+def united_traits(detected: Column, tags: Column) -> Column:
+    """Detected traits and a file's own tags as one sorted set, space-joined."""
+    none = F.array().cast("array<string>")
+    return F.concat_ws(" ", F.array_sort(F.array_union(F.coalesce(detected, none), F.coalesce(tags, none))))
+
+
 def one_spaced(text: Column, limit: int) -> Column:
     """White space runs as one space, trimmed, at most ``limit`` characters."""
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections import Counter
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeway.functions import text as X
+from lodeway.sources.scratch import children, delete, exists, shared_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -20,38 +24,76 @@ def postings(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def terms(posted: DataFrame) -> DataFrame:
-    """``(term, df, tf)`` of the corpus."""
-    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+@dataclass
+class SearchIndex:
+    """What a search reads of ``chunks``: postings in the order of terms, statistics of terms, and of the corpus."""
 
+    chunks: DataFrame
+    postings: DataFrame  # chunk_id, term, dl, tf
+    terms: DataFrame  # term, df, tf, idf
+    n: int
+    mean_length: float
+    floor: float  # of the idf
 
-def corpus(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks and their mean length."""
-    sized = chunks.select(F.size(X.tokens(F.col("text"))).cast("double").alias("dl"))
-    return sized.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    @classmethod
+    def opened(cls, chunks: DataFrame, folder: str) -> SearchIndex:
+        read = chunks.sparkSession.read.parquet
+        row = read(f"{folder}/corpus").first()
+        return cls(chunks, read(f"{folder}/postings"), read(f"{folder}/terms"), row["n"], row["mean_length"], row["floor"])
 
 
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
+def fingerprint(files: DataFrame, *params) -> str:
+    """Names an index by its files (file, mtime, length) and parameters, whatever their order."""
+    row = files.agg(F.count("*"), F.bit_xor(F.xxhash64("file", "mtime", "length")), F.sum(F.xxhash64("length", "file", "mtime").cast("decimal(38,0)"))).first()
+    return hashlib.md5(repr((*row, *params, K1, B)).encode()).hexdigest()
+
+
+def build_index(chunks: DataFrame, folder: str) -> SearchIndex:
+    """Tokenise ``chunks`` once and write their postings, sorted by term so that a query reads few of them."""
+    spark = chunks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings(chunks).repartitionByRange(parts, "term").sortWithinPartitions("term", "chunk_id")
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
+    posted = spark.read.parquet(f"{folder}/postings")
+    n = chunks.count()
+    terms = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms.withColumn("idf", idf).write.mode("overwrite").parquet(f"{folder}/terms")
+    row = spark.read.parquet(f"{folder}/terms").agg(F.sum("tf").alias("words"), F.avg("idf").alias("mean")).first()
+    corpus = [(n, float(row["words"] or 0) / n if n else 0.0, EPSILON * (row["mean"] or 0.0))]
+    spark.createDataFrame(corpus, "n long, mean_length double, floor double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
+    return SearchIndex.opened(chunks, folder)  # the corpus comes last, so a folder with it is whole
+
+
+def index_of(chunks: DataFrame, name: str, key: str, base: str | None = None) -> SearchIndex:
+    """The index ``name`` of fingerprint ``key``: from its folder, else built anew, which evicts the older ones of that name.
+
+    An empty corpus has an empty index, never an older one.
+    """
+    spark = chunks.sparkSession
+    home = f"{base or shared_dir(spark)}/search-{name}"
+    if exists(spark, f"{home}/{key}/corpus/_SUCCESS"):
+        return SearchIndex.opened(chunks, f"{home}/{key}")
+    for old in children(spark, home):
+        if old.rpartition("/")[2] != key:
+            delete(spark, old)
+    return build_index(chunks, f"{home}/{key}")
+
+
+def bm25(index: SearchIndex, query: str) -> DataFrame:
     """``(chunk_id, bm25)`` of the chunks with a term of ``query``; a term counts as often as the query has it.
 
     Terms in over half of the chunks take a fraction of the mean idf of all terms.
     """
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = chunks.sparkSession
-    asked = Counter(spark.range(1).select(F.explode(X.tokens(F.lit(query)))).toPandas().iloc[:, 0])
-    wanted = spark.createDataFrame(list(asked.items()), "term string, asked int")
-    posted = postings(chunks)
-    stats = corpus(chunks)
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    known = terms(posted).crossJoin(F.broadcast(stats)).withColumn("idf", idf)
-    mean = known.agg((EPSILON * F.avg("idf")).alias("floor"))
-    # The query's terms alone pass the filter below, so that the posting join keeps few rows.
-    weights = known.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean))
-    weights = weights.select("term", "asked", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hits = posted.where(F.col("term").isin(list(asked))).join(F.broadcast(weights), "term")
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("chunk_id").agg(F.sum(F.col("asked") * F.col("idf") * gain).alias("bm25"))
+    asked = Counter(X.query_terms(query))
+    idf = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(list(asked))).collect()} if asked else {}
+    if not idf:
+        return index.postings.limit(0).select("chunk_id", F.lit(0.0).alias("bm25"))
+    weight = {t: asked[t] * (index.floor if v < 0 else v) for t, v in sorted(idf.items())}
+    value = F.element_at(F.create_map(*(F.lit(x) for kv in weight.items() for x in kv)), F.col("term"))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
+    hits = index.postings.where(F.col("term").isin(list(weight)))
+    return hits.groupBy("chunk_id").agg(F.sum(value * gain).alias("bm25"))
 
 
 def top(rows: DataFrame, score: str, k: int, key: str = "chunk_id") -> DataFrame:
@@ -68,29 +110,31 @@ def literal_weights(chunks: DataFrame, literals: list[str]) -> DataFrame:
 
 
 def hybrid(
-    chunks: DataFrame, dense: DataFrame, query: str, first: int = 60, final: int = 8, reranker=None
+    index: SearchIndex, dense: DataFrame, query: str, first: int = 60, final: int = 8, reranker=None
 ) -> DataFrame:
     """The best ``final`` chunks by BM25, ``dense`` (chunk_id, dense) scores and literals of ``query``.
 
     Candidates are the ``first`` of each ranking and all chunks with a literal;
     their score is half the BM25 score over the best one plus half the dense
     score, either 0 outside its ranking. A ``reranker`` (query, texts -> scores)
-    rescores the best max(8 final, 60) and adds the literals' weights.
+    rescores the best max(8 final, 60) and adds the literals' weights; where it
+    fails, which is logged, the order stays.
     """
-    lexical = bm25(chunks, query)
-    best = lexical.agg(F.max("bm25").alias("best"))
+    chunks, lexical = index.chunks, bm25(index, query)
     literals = X.query_literals(query)
-    near = top(dense, "dense", first)
-    head = top(chunks.select("chunk_id").join(lexical, "chunk_id", "left").na.fill(0.0, ["bm25"]), "bm25", first)
-    ids = head.select("chunk_id").union(near.select("chunk_id"))
+    near = {r["chunk_id"]: r["dense"] for r in top(dense, "dense", first).collect()}
+    head = [(r["chunk_id"], r["bm25"]) for r in top(lexical, "bm25", first).collect()]
+    best = head[0][1] if head else 0.0
+    scale = best if best > 0 else 1.0
+    if len(head) < first or head[-1][1] < 0:  # chunks without a term score 0
+        rest = chunks.select("chunk_id").join(lexical, "chunk_id", "left_anti").orderBy("chunk_id").limit(first).collect()
+        head = sorted(head + [(r["chunk_id"], 0.0) for r in rest], key=lambda x: (-x[1], x[0]))[:first]
     low = F.lower("text")
-    if literals:
-        hit = F.lit(False)
-        for x in literals:
-            hit = hit | low.contains(x.lower())
-        ids = ids.union(chunks.where(hit).select("chunk_id"))
-    rows = ids.distinct().join(chunks, "chunk_id").join(lexical, "chunk_id", "left").join(near, "chunk_id", "left").crossJoin(F.broadcast(best))
-    scale = F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)
+    wanted = F.col("chunk_id").isin(sorted({*near, *(c for c, _ in head)}))
+    for x in literals:
+        wanted = wanted | low.contains(x.lower())
+    close = chunks.sparkSession.createDataFrame(list(near.items()), T.StructType([T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("dense", T.DoubleType())]))
+    rows = chunks.where(wanted).join(lexical, "chunk_id", "left").join(F.broadcast(close), "chunk_id", "left")  # ``first`` rows
     score = 0.5 * F.coalesce(F.col("bm25") / scale, F.lit(0.0)) + 0.5 * F.coalesce("dense", F.lit(0.0))
     rows = rows.select("chunk_id", "file", "line_start", "text", score.alias("score"))
     if reranker is None:
@@ -104,7 +148,8 @@ def hybrid(
         for b in batches:
             try:
                 ce = [float(x) for x in reranker(query, list(b["text"]))]
-            except Exception:  # as without a model: the order stays
+            except Exception:
+                logging.getLogger(__name__).warning("the reranker failed", exc_info=True)
                 ce = [0.0] * len(b)
             yield b.assign(ce=ce)
 

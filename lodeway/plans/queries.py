@@ -61,9 +61,15 @@ def chunk_fixed(spark, d):
     return rows.select("file", F.col("line_start").cast("long").alias("line_start"), F.md5("text").alias("digest"))
 
 
+def doc_index(spark: SparkSession, sf_dir: str) -> lexical.SearchIndex:
+    """The search index of all documents, built where none of the same files is there."""
+    files = read(spark, sf_dir, "documents").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("length"))
+    return lexical.index_of(doc_chunks(spark, sf_dir), "documents", lexical.fingerprint(files.distinct()))
+
+
 @query
 def tokenize_terms(spark, d):
-    return lexical.terms(lexical.postings(doc_chunks(spark, d)))
+    return doc_index(spark, d).terms.select("term", "df", "tf")
 
 
 # search
@@ -71,7 +77,7 @@ def tokenize_terms(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    rows = lexical.top(lexical.bm25(doc_chunks(spark, d), TEXT_QUERY), "bm25", 20)
+    rows = lexical.top(lexical.bm25(doc_index(spark, d), TEXT_QUERY), "bm25", 20)
     return rows.select("chunk_id", F.round("bm25", 5).alias("bm25"))
 
 
@@ -98,7 +104,7 @@ def hybrid_search(spark, d):
     v, q = _dense(spark, d)
     dense = v.select("chunk_id", vectors.similarity(F.col("embedding"), F.array(*map(F.lit, q))).alias("dense"))
     dense = dense.join(doc_chunks(spark, d).select("chunk_id"), "chunk_id", "left_semi")
-    rows = lexical.hybrid(doc_chunks(spark, d), dense, TEXT_QUERY + " re-eaux", first=30, final=10)
+    rows = lexical.hybrid(doc_index(spark, d), dense, TEXT_QUERY + " re-eaux", first=30, final=10)
     return rows.select("chunk_id", "file", F.round("score", 5).alias("score"))
 
 
@@ -108,13 +114,13 @@ def hybrid_search_reranked(spark, d):
     v, q = _dense(spark, d)
     dense = v.select("chunk_id", vectors.similarity(F.col("embedding"), F.array(*map(F.lit, q))).alias("dense"))
     shared = lambda ask, texts: [len(set(ask.split()) & set(t.split())) / 10 for t in texts]
-    return lexical.hybrid(doc_chunks(spark, d), dense, LITERAL_QUERY + " " + TEXT_QUERY, 30, 10, shared).select("chunk_id", "score")
+    return lexical.hybrid(doc_index(spark, d), dense, LITERAL_QUERY + " " + TEXT_QUERY, 30, 10, shared).select("chunk_id", "score")
 
 
 @query
 def search_report(spark, d):
     """Rows only: ranked chunks as text blocks."""
-    rows = lexical.top(doc_chunks(spark, d).join(lexical.bm25(doc_chunks(spark, d), TEXT_QUERY), "chunk_id").withColumnRenamed("bm25", "score"), "score", 8)
+    rows = lexical.top(doc_chunks(spark, d).join(lexical.bm25(doc_index(spark, d), TEXT_QUERY), "chunk_id").withColumnRenamed("bm25", "score"), "score", 8)
     return render.code_results(rows, 300)
 
 

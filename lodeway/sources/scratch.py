@@ -20,10 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _at(spark, path)
+    return store.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Folders and files of a folder, sorted; none where it is missing."""
+    at, store = _at(spark, path)
+    return sorted(x.getPath().toString() for x in store.listStatus(at)) if store.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder below the shared one."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = _at(spark, path)
+    store.delete(at, True)
 
 
 def saver(spark: SparkSession, keep: int = 0) -> Callable[[DataFrame], DataFrame]:

@@ -22,9 +22,9 @@ def collected(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_bm25_by_hand(spark):
+def test_bm25_by_hand(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "f", 1, "apple banana apple"), (2, "f", 1, "apple cherry"), (3, "f", 1, "banana kiwi plum kiwi")], "chunk_id int, file string, line_start int, text string")
-    got = {r["chunk_id"]: r["bm25"] for r in lexical.bm25(chunks, "apple kiwi kiwi").collect()}
+    got = {r["chunk_id"]: r["bm25"] for r in lexical.bm25(lexical.build_index(chunks, f"file://{tmp_path}/i"), "apple kiwi kiwi").collect()}
     df = {"apple": 2, "banana": 2, "cherry": 1, "kiwi": 1, "plum": 1}
     idf = {t: math.log(3 - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
     floor = 0.25 * sum(idf.values()) / 5
@@ -33,14 +33,27 @@ def test_bm25_by_hand(spark):
     assert got == pytest.approx({1: score("apple", 2, 3), 2: score("apple", 1, 2), 3: 2 * score("kiwi", 2, 4)})
 
 
-def test_failing_reranker_keeps_the_pool(spark):
+def test_index_is_kept_by_fingerprint(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "f", 1, "apple banana")], "chunk_id int, file string, line_start int, text string")
+    base = f"file://{tmp_path}"
+    files = spark.createDataFrame([("a", 1, 5), ("b", 2, 6)], "file string, mtime long, length long")
+    key = lexical.fingerprint(files)
+    assert key == lexical.fingerprint(files.orderBy(F.desc("file"))) != lexical.fingerprint(files.withColumn("mtime", F.col("mtime") + 1))
+    lexical.index_of(chunks, "x", key, base)
+    again = lexical.index_of(chunks.withColumn("text", F.lit("other")), "x", key, base)
+    assert {r["term"] for r in again.terms.collect()} == {"apple", "banana"}
+    empty = lexical.index_of(chunks.limit(0), "x", "new", base)
+    assert empty.n == 0 and lexical.bm25(empty, "apple").count() == 0 and [p.name for p in (tmp_path / "search-x").iterdir() if p.is_dir()] == ["new"]
+
+
+def test_failing_reranker_keeps_the_pool(spark, tmp_path):
     chunks = spark.createDataFrame([(i, "f", 1, f"alpha foo-bar word{i}") for i in range(5)], "chunk_id long, file string, line_start int, text string")
     dense = chunks.select("chunk_id", (F.col("chunk_id") / 10).alias("dense"))
 
     def broken(query, texts):
         raise RuntimeError
 
-    assert [r["chunk_id"] for r in lexical.hybrid(chunks, dense, "alpha foo-bar", final=3, reranker=broken).collect()] == [4, 3, 2]
+    assert [r["chunk_id"] for r in lexical.hybrid(lexical.build_index(chunks, f"file://{tmp_path}/i"), dense, "alpha foo-bar", final=3, reranker=broken).collect()] == [4, 3, 2]
 
 
 def test_usages_count_dotted_leaves(spark):
