@@ -187,3 +187,13 @@ TEST_BASENAME = (
 TEST_FOLDER = r"/(tests|test|__tests__|spec|specs)/"
 DECLARING = "def class function interface type enum fn func const let var".split()
 COMMENT_MARKS = ["#", "//", "/*", "*", "<!--", '"""', "'''"]
+# What code search takes, and leaves out.
+SEARCH_SUFFIXES = (
+    ".py .pyi .ipynb .js .jsx .ts .tsx .vue .java .kt .scala .groovy .go .rs .swift .dart .cs .fs .vb .php .rb .pl .pm "
+    ".cpp .cc .cxx .h .hpp .c .m .mm .sql .sh .bash .yaml .yml .toml .json .xml .html .css .scss .less"
+).split()
+SEARCH_DROPPED = ".min.js .min.css .map .pyc .class .jar".split()
+SEARCH_IGNORED = (
+    "node_modules venv .venv __pycache__ .git .pytest_cache dist build logs .idea .vscode target bin obj .gradle vendor CMakeFiles "
+    "Debug Release .angular"
+).split()

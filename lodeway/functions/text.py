@@ -106,6 +106,16 @@ def is_indexable(path: Column, extra: tuple[str, ...] = ()) -> Column:
     return F.lower(basename(path)).rlike("(?:" + "|".join(re.escape(s.lower()) for s in (*K.CODE_SUFFIXES, *K.NAMED_FILES, *extra)) + ")$")
 
 
+def ends_with_any(path: Column, suffixes: list[str]) -> Column:
+    return F.lower(basename(path)).rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$")
+
+
+def is_below(path: Column, names: list[str]) -> Column:
+    """Whether a directory of the path has one of ``names``, in any case."""
+    dirs = F.transform(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), F.lower)
+    return F.arrays_overlap(dirs, F.array(*(F.lit(n.lower()) for n in names)))
+
+
 def is_ignored(path: Column, extra: tuple[str, ...] = ()) -> Column:
     """Whether a directory of the project-relative path is one that is not indexed."""
     names = [*K.IGNORED_DIRS, *extra]

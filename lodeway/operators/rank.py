@@ -90,3 +90,18 @@ def budgeted(ranked: DataFrame, scores: DataFrame, tokens: int = 8000, chars_per
         if used >= 0.95 * budget:
             break
     return ranked.sparkSession.createDataFrame(kept, "file string, name string, line string, score double")
+
+
+def in_degree(ranked: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, score)``: the weight of the references to each node, a plain ranking where none converges."""
+    into = links.groupBy(F.col("dst").alias("node")).agg(F.sum("weight").cast("double").alias("score"))
+    base = ranked.select(F.concat_ws("\n", "file", "name").alias("node"))
+    return base.join(into, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def by_file(listing: DataFrame) -> DataFrame:
+    """``(file, best, lines)`` of a budgeted listing: files by their best score, lines by line number."""
+    number = F.coalesce(F.try_to_number(F.regexp_extract("line", r":(\d+)$", 1), F.lit("999999999")).cast("long"), F.lit(0))
+    rows = listing.groupBy("file").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct(number.alias("at"), "line"))).alias("rows"))
+    rows = rows.select("file", "best", F.array_join(F.transform("rows", lambda r: F.concat(F.lit("  "), r["line"])), "\n").alias("lines"))
+    return rows.orderBy(F.desc("best"), "file")

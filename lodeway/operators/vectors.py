@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodeway.functions import constants as K
 from lodeway.functions import text as X
 
 BLOCK = 1024
@@ -26,6 +27,25 @@ def hashed(tokens: list[str], dim: int = 64) -> list[float]:
     return (v / n if n else v).tolist()
 
 
+def entity_texts(entities: DataFrame, relations: DataFrame, most: int = 6) -> DataFrame:
+    """``(file, name, type, text)``, what an entity is embedded as: name, relations, and snippet or description.
+
+    Relations go by type in a fixed order, each with the ``most`` least of its
+    targets. ``entities`` may have a snippet column.
+    """
+    known = relations.where(F.col("relation").isin(K.DIGEST_ORDER)).select("file", F.col("from_name").alias("name"), "relation", "to_name").distinct()
+    order = W.partitionBy("file", "name", "relation").orderBy("to_name")
+    firsts = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).groupBy("file", "name", "relation")
+    firsts = firsts.agg(F.concat(F.col("relation"), F.lit(" "), F.array_join(F.array_sort(F.collect_list("to_name")), ", ")).alias("part"))
+    place = F.array_position(F.array(*map(F.lit, K.DIGEST_ORDER)), F.col("relation"))
+    digest = firsts.groupBy("file", "name").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "part"))).alias("parts"))
+    digest = digest.select("file", "name", F.array_join(F.transform("parts", lambda p: p["part"]), "; ").alias("digest"))
+    snippet = F.trim(F.coalesce("snippet", F.lit(""))) if "snippet" in entities.columns else F.lit("")
+    body = F.when(snippet != "", F.substring(snippet, 1, 400)).otherwise(F.nullif(F.trim(F.coalesce("description", F.lit(""))), F.lit("")))
+    rows = entities.join(digest, ["file", "name"], "left")
+    return rows.select("file", "name", "type", F.concat_ws("\n", "name", "digest", body).alias("text"))
+
+
 def embed(rows: DataFrame, column: str = "text", model: Callable[[list[str]], list] | None = None) -> DataFrame:
     """``rows`` with ``embedding``: of a pluggable model, else hashed tokens."""
     if model:

@@ -81,15 +81,19 @@ def subgraph(cap: int = 20, hub: int = 10) -> str:
       k1 as ({ranked.format(open='o1')})"""
 
 
-def pagerank(tolerance: float) -> str:
-    """Rounds until the scores move by less than ``tolerance`` a node, as the operator does by default."""
-    a = rank.ALPHA
-    out = f"""{KG.replace("with ", "with recursive ", 1)}, {FANOUT}, ranked as materialized (select e.file, e.name, max(type) as type from entities e where type in ({quoted(K.MAP_TYPES)})
+LINK_PARTS = f"""ranked as materialized (select e.file, e.name, max(type) as type from entities e where type in ({quoted(K.MAP_TYPES)})
         and exists (select 1 from relations r where relation = 'defines' and r.from_name = r.file and r.file = e.file and r.to_name = e.name) group by 1, 2),
       refs as (select r.file, from_name, to_name, count(*) as weight from relations r join fanout on name = to_name and files < {rank.HUB} where relation <> 'defines' group by 1, 2, 3),
       picked as (select refs.*, d.file as def_file, row_number() over (partition by refs.file, from_name, to_name order by d.file = refs.file desc, d.file) as r
         from refs join ranked o on o.file = refs.file and o.name = from_name join ranked d on d.name = to_name),
-      links as materialized (select file || chr(10) || from_name as src, def_file || chr(10) || to_name as dst, weight from picked where r = 1 and file || chr(10) || from_name <> def_file || chr(10) || to_name),
+      links as materialized (select file || chr(10) || from_name as src, def_file || chr(10) || to_name as dst, weight from picked where r = 1 and file || chr(10) || from_name <> def_file || chr(10) || to_name)"""
+LINKS = f"{KG}, {FANOUT}, {LINK_PARTS}"
+
+
+def pagerank(tolerance: float) -> str:
+    """Rounds until the scores move by less than ``tolerance`` a node, as the operator does by default."""
+    a = rank.ALPHA
+    out = f"""{KG.replace("with ", "with recursive ", 1)}, {FANOUT}, {LINK_PARTS},
       outs as materialized (select src, sum(weight) as total from links group by src),
       base0 as (select file || chr(10) || name as node, 1.0 + case when contains(file, 'svc/') then 10.0 else 0.0 end + case when name = '{Q.NAME}' then 50.0 else 0.0 end as p from ranked),
       base as materialized (select node, cast(p as double) / (select sum(p) from base0) as p, total is null as dangling from base0 left join outs on src = node),
@@ -130,6 +134,16 @@ SNIPPETS = """with s as (select p_partkey, p_partkey % 8 as k, p_partkey % 9 as
    case when lang <> '' and k = 4 then 'deprecated' end, case when lang in ('java', 'c', 'ts') and k = 5 then 'static' end,
    case when (lang in ('ts', 'java') and k = 6) then 'abstract' end, case when e = 6 then 'test' end], lambda x: x is not null) as ts from l)"""
 
+SOURCES = """with s as (select doc_id as n, length(trim(text)) < 50 as quiet from documents), one as (select * from s where n % 3 <> 0)"""
+WRITTEN = f"""{KG}, b as (select file, count(*) as n_entities, count(*) filter (where type <> 'module') as made, file not like '%7.ts' as there from entities group by file),
+  q as (select file, from_name || '_2' as from_name, relation, to_name from relations where relation <> 'defines'),
+  names as (select file, name || '_2' as name from entities where type <> 'module' union all select file, file from b),
+  ok as (select distinct q.* from q join names n on n.file = q.file and (n.name = from_name or n.name = to_name)),
+  k as (select file, count(*) as kept from ok where not (relation = 'uses' and exists (select 1 from ok o where o.relation = 'calls' and o.file = ok.file and o.from_name = ok.from_name and o.to_name = ok.to_name)) group by file),
+  o as (select file, count(*) as offered from q group by file), h as (select file, count(*) as had from relations group by file),
+  report as (select b.*, coalesce(kept, 0) as kept, coalesce(offered, 0) as offered, had, case when not there then 'missing' when coalesce(offered, 0) = 0 then 'rejected' else 'replaced' end as status
+    from b left join k using (file) left join o using (file) left join h using (file))"""
+
 ORACLES: dict[str, str] = {
     "chunk_windows": windows(8, 6),
     "chunk_fixed": f"with files as ({FILES}) select file, i + 1 as line_start, md5(array_to_string(l[i + 1:i + 5], chr(10))) as digest from (select file, l, unnest(range(0, len(l), 5)) as i from (select file, string_split(text, chr(10)) as l from files)) where regexp_matches(array_to_string(l[i + 1:i + 5], chr(10)), '\\S')",
@@ -208,7 +222,7 @@ ORACLES: dict[str, str] = {
       select n_name, unnest([{'name': '--w-' || cast(n_regionkey as varchar), 'type': 'variable', 'relation': 'defines'}, {'name': 'base.css', 'type': 'import', 'relation': 'imports'},
       {'name': '.n' || cast(n_nationkey as varchar), 'type': 'selector', 'relation': 'defines'}], recursive := true) from nation)""",
     "config_keys": "select name, count(*) as n from (select unnest(json_keys(props)) as name from events) group by name",
-    "config_lines": f"with files as ({FILES}), k as (select distinct file, regexp_extract(l, '^[ \\t]*[\"'']?([A-Za-z0-9_.-]+)[\"'']?\\s*[:=]', 1) as name from (select file, unnest(string_split(text, chr(10))) as l from files)) select name, count(*) as n from k where name <> '' group by name",
+    "config_lines": f"with files as (select doc_id as file, regexp_replace(text, '(?m)^([A-Za-z]{{4}})[a-z]* ', '\\1: ', 'g') as text from documents), k as (select distinct file, regexp_extract(l, '^[ \\t]*[\"'']?([A-Za-z0-9_.-]+)[\"'']?\\s*[:=]', 1) as name from (select file, unnest(string_split(text, chr(10))) as l from files)) select name, count(*) as n from k where name <> '' group by name",
     "snippet_locator": f"""with files as ({FILES}), l as (select file, string_split(text, chr(10)) as l from files), n(name, leaf) as (values ('der', 'der'), ('pkg.the', 'the'), ('zzzz', 'zzzz')),
       c as (select file, name, len(l) as lines, list_filter([list_position(list_transform(l, lambda x: contains(x, p)), true) for p in ['def ' || name, 'class ' || name, 'function ' || name, 'const ' || name, 'let ' || name, 'var ' || name, 'def ' || leaf, 'class ' || leaf, 'function ' || leaf, 'const ' || leaf, 'let ' || leaf, 'var ' || leaf, leaf || '(', name, leaf]], lambda i: i > 0)[1] as pos from l, n)
       select file, name, cast(pos as bigint) as line_start, cast(case when pos is not null then least(lines, pos + 3) end as bigint) as line_end from c""",
@@ -223,7 +237,24 @@ ORACLES: dict[str, str] = {
       w as (select * from v where not (relation = 'uses' and exists (select 1 from v c where c.relation = 'calls' and c.file = v.file and c.from_name = v.from_name and c.to_name = v.to_name)))
       select relation, count(*) as n, count(distinct to_name) as names from w group by relation""",
     "dedupe_calls_uses": f"{KG} select file, relation, count(*) as n from relations r where not (relation = 'uses' and exists (select 1 from relations c where c.relation = 'calls' and c.file = r.file and c.from_name = r.from_name and c.to_name = r.to_name)) group by file, relation",
-    "entity_texts": f"{KG} select file, from_name, relation, string_agg(to_name, ', ' order by to_name) as digest from (select *, row_number() over (partition by file, from_name, relation order by to_name) as r from relations) where r <= 6 group by 1, 2, 3",
+    "entity_texts": f"""{KG}, t as (select file, from_name, relation, to_name, row_number() over (partition by file, from_name, relation order by to_name) as r from relations),
+      parts as (select file, from_name, list_position([{quoted(K.DIGEST_ORDER)}], relation) as spot, relation || ' ' || string_agg(to_name, ', ' order by to_name) as part from t where r <= 6 group by file, from_name, relation),
+      digest as (select file, from_name as name, string_agg(part, '; ' order by spot) as digest from parts group by 1, 2)
+      select file, name, type, md5(concat_ws(chr(10), name, digest, nullif(trim(coalesce(description, '')), ''))) as digest from entities left join digest using (file, name)""",
+    "build_graph": f"""{SOURCES} select (select count(*) from one) as indexed, 0 as deleted, (select count(*) from one where not quiet and n % 11 = 0) as remaining,
+      (select count(*) from one where quiet or n % 11 <> 0) as total_files, (select 2 * count(*) from one where not quiet and n % 11 <> 0) as entities, (select 3 * count(*) from one where not quiet and n % 11 <> 0) as relations""",
+    "build_incremental": f"""{SOURCES}, two as (select * from s where n % 5 <> 0) select (select count(*) from two where n % 3 = 0 or n % 4 = 0 or (not quiet and n % 11 = 0)) as indexed,
+      (select count(*) from one where n % 5 = 0 and (quiet or n % 11 <> 0)) as deleted, (select count(*) from two where not quiet and n % 11 = 0) as remaining,
+      (select count(*) from two where quiet or n % 11 <> 0) as total_files, (select 2 * count(*) from two where not quiet and n % 11 <> 0) as entities, (select 3 * count(*) from two where not quiet and n % 11 <> 0) as relations""",
+    "write_batch_report": f"{WRITTEN} select file, status, cast(case when status = 'replaced' then offered - kept else 0 end as bigint) as relations_dropped, status = 'replaced' as needs_incoming from report",
+    "write_batch_graph": f"""{WRITTEN} select file, case when status = 'replaced' then 2 else 1 end as mtime, status <> 'replaced' as incoming_done,
+      case when status = 'replaced' then made + 1 else n_entities end as n_entities, case when status = 'replaced' then kept + made + 1 else had end as n_relations from report where status <> 'missing'""",
+    "add_entity": """select 'src/u1.py' as file, name, type, description, cast(null as bigint) as line_start, traits, 77 as mtime, true as incoming_done, 2 as n_relations
+      from (values ('Extra', 'class', 'added', 'exported fresh x y'), ('src/u1.py', 'module', 'Source file', '')) v(name, type, description, traits)""",
+    "mark_files_seen": f"with m as ({META}), k as ({DISK}) select file, mtime, true as incoming_done from k union all select file, mtime, incoming_done from m where file not in (select file from k)",
+    "cache_hit_rate": "with c as (select distinct text from documents where doc_id % 3 = 0) select count(*) as total, count(c.text) as hits, round(count(c.text) / count(*), 4) as rate from documents d left join c on d.text = c.text",
+    "trait_union": SNIPPETS + " select p_partkey, array_to_string(list_sort(list_distinct(list_concat(ts, ['async', 'mine']))), ' ') as traits from t",
+    "in_degree_rank": f"""{LINKS} select node, coalesce(score, 0.0) as score from (select file || chr(10) || name as node from ranked) left join (select dst as node, cast(sum(weight) as double) as score from links group by dst) using (node)""",
     "upsert_entities": f"""{KG}, n as (select file, name, type, case when line_start % 4 = 0 then '' else 'new' end as d, case when line_start % 8 <> 0 then line_start + 1 end as l, 'fresh' as t from entities where line_start % 2 = 0
       union all select file, name || '_b', type, description, line_start, traits from entities where line_start % 3 = 0)
       select file, name, type, coalesce(nullif(d, ''), description, '') as description, coalesce(l, line_start) as line_start, case when t is not null then t else traits end as traits from entities full join n using (file, name, type)""",

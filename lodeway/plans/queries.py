@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeway.functions import text as X
-from lodeway.operators import analytics, extract, lexical, lookup, rank, regex, render, rollup, sanitize, store, traverse, vectors
+from lodeway.operators import analytics, build, extract, lexical, lookup, rank, regex, render, rollup, sanitize, store, traverse, vectors
 from lodeway.sources import files as sources
 from lodeway.sources.adapters import view
 from lodeway.sources.scratch import saver
@@ -397,7 +397,9 @@ def config_keys(spark, d):
 
 @query
 def config_lines(spark, d):
-    return extract.config_keys(view(spark, d, "files")).groupBy("name").agg(F.count("*").alias("n"))
+    """Keys of texts that do not parse: documents with the first word of a line made a key."""
+    files = read(spark, d, "documents").select(F.concat("doc_id", F.lit(".yaml")).alias("file"), F.regexp_replace("text", r"(?m)^([A-Za-z]{4})[a-z]* ", "$1: ").alias("text"))
+    return extract.config_keys(files).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query
@@ -459,14 +461,9 @@ def dedupe_calls_uses(spark, d):
 
 @query
 def entity_texts(spark, d):
-    """What an entity is embedded as: its relations by type, six targets each."""
-    entities, relations = graph(spark, d)
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("file", "from_name", "relation").orderBy("to_name")
-    rows = relations.withColumn("r", F.row_number().over(order)).where("r <= 6")
-    rows = rows.groupBy("file", "from_name", "relation").agg(F.array_sort(F.collect_list("to_name")).alias("names"))
-    return rows.select("file", "from_name", "relation", F.array_join("names", ", ").alias("digest"))
+    """What each entity is embedded as."""
+    rows = vectors.entity_texts(*graph(spark, d))
+    return rows.select("file", "name", "type", F.md5("text").alias("digest"))
 
 
 # writes
@@ -519,6 +516,102 @@ def backfill_traits(spark, d):
     return store.backfilled(_snippets(spark, d)).where("traits != ''").groupBy("traits").agg(F.count("*").alias("n"))
 
 
+def _sources(spark, d):
+    """Documents as source files of two moments, and an extractor that knows one function of most."""
+    docs = read(spark, d, "documents").select(F.concat_ws("/", "source", F.concat("doc_id", F.lit(".py"))).alias("file"), F.col("doc_id").alias("mtime"), F.octet_length("text").cast("long").alias("length"), "text", "doc_id")
+    first = docs.where("doc_id % 3 != 0").drop("doc_id")
+    mtime = F.when(F.col("doc_id") % 4 == 0, F.col("mtime") + 1_000_000).otherwise(F.col("mtime"))
+    second = docs.where("doc_id % 5 != 0").withColumn("mtime", mtime).drop("doc_id")
+
+    def one(file, text):
+        n = int(file.rpartition("/")[2][:-3])
+        if n % 11 == 0:
+            return {}
+        return {"entities": [{"name": f"f{n}", "type": "fn"}], "relations": [{"from": f"f{n}", "relation": "calls", "to": f"f{n % 7}"}]}
+
+    return first, second, one
+
+
+@query
+def build_graph(spark, d):
+    first, _, one = _sources(spark, d)
+    return build.brought_up_to_date(build.empty(spark), first, one)[1]
+
+
+@query
+def build_incremental(spark, d):
+    """The counts of a second build, after files came, went and changed."""
+    first, second, one = _sources(spark, d)
+    return build.brought_up_to_date(build.brought_up_to_date(build.empty(spark), first, one)[0], second, one)[1]
+
+
+def _written(spark, d):
+    entities, relations = map(saver(spark), graph(spark, d))
+    meta = entities.select("file").distinct().select("file", F.lit(1).cast("long").alias("mtime"), F.lit(True).alias("incoming_done"))
+    offered = relations.where("relation != 'defines'")
+    batch = entities.groupBy("file").agg(F.count("*").alias("n_entities")).join(offered.groupBy("file").agg(F.count("*").alias("n_relations")), "file", "left")
+    batch = batch.select("file", "n_entities", F.coalesce("n_relations", F.lit(0)).alias("n_relations"), F.lit(False).alias("module_only"), F.lit(False).alias("completes"))
+    disk = entities.where("file not like '%7.ts'").select("file", F.lit(2).cast("long").alias("mtime")).distinct()
+    new = entities.where("type != 'module'").withColumn("name", F.concat("name", F.lit("_2")))
+    return store.write_batch(store.Graph(entities, relations, meta), batch, new, offered.withColumn("from_name", F.concat("from_name", F.lit("_2"))), disk)
+
+
+@query
+def write_batch_report(spark, d):
+    return _written(spark, d)[1]
+
+
+@query
+def write_batch_graph(spark, d):
+    """Files, entities, relations and files that need incoming references after a batch."""
+    g, _ = _written(spark, d)
+    ent = g.entities.groupBy("file").agg(F.count("*").alias("n_entities"))
+    edges = g.relations.groupBy("file").agg(F.count("*").alias("n_relations"))
+    return g.meta.join(ent, "file", "full").join(edges, "file", "full").select("file", "mtime", "incoming_done", "n_entities", "n_relations")
+
+
+@query
+def add_entity(spark, d):
+    entities, relations = graph(spark, d)
+    g = store.Graph(entities, relations, view(spark, d, "file_meta").select("file", "mtime", "incoming_done"))
+    g = store.add_entity(g, "src/u1.py", "Extra", "struct", 77, "added", ["Fresh", "x y"])
+    return g.entities.where("file = 'src/u1.py'").join(g.meta, "file").join(g.relations.where("file = 'src/u1.py'").groupBy("file").agg(F.count("*").alias("n_relations")), "file")
+
+
+@query
+def mark_files_seen(spark, d):
+    return store.mark_seen(view(spark, d, "file_meta"), view(spark, d, "disk"))
+
+
+@query
+def cache_hit_rate(spark, d):
+    rows = read(spark, d, "documents").select(vectors.cache_key(F.col("text"), "m").alias("hash"), "doc_id")
+    return store.cache_hit_rate(rows, rows.where("doc_id % 3 = 0"))
+
+
+@query
+def trait_union(spark, d):
+    rows = _snippets(spark, d)
+    united = X.united_traits(X.traits(F.col("name"), F.col("snippet"), F.col("file"), F.col("type")), X.sanitized_tags(F.lit("async, Mine")))
+    return rows.select("p_partkey", united.alias("traits"))
+
+
+@query
+def in_degree_rank(spark, d):
+    entities, relations = graph(spark, d)
+    ranked = rank.nodes(entities, relations)
+    return rank.in_degree(ranked, rank.edges(ranked, entities, relations))
+
+
+@query
+def repo_map_by_file(spark, d):
+    """Rows only: as the listing, but ranked by references."""
+    save = saver(spark)
+    entities, relations = map(save, graph(spark, d))
+    ranked = save(rank.nodes(entities, relations))
+    return rank.by_file(rank.budgeted(ranked, rank.in_degree(ranked, rank.edges(ranked, entities, relations)), tokens=500))
+
+
 @query
 def extractor_payload(spark, d):
     """Rows only: a plugged-in extractor that names a file's first word."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tomllib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lodeway.functions import constants as K
 from lodeway.functions import text as X
+from lodeway.functions.paths import is_inside
+from lodeway.sources.scratch import text_of
 
 
 @dataclass
@@ -37,18 +41,57 @@ class ProjectConfig:
             return cls()
 
 
-def scan(spark: SparkSession, root: str, config: ProjectConfig | None = None, secrets: bool = False) -> DataFrame:
+def ignored_by(patterns: str) -> list[tuple[bool, str]]:
+    """``(ignore, regex)`` of the lines of a .gitignore, for project-relative paths; later ones decide."""
+    out = []
+    for line in patterns.splitlines():
+        line = re.sub(r"(?<!\\)\s+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        keep, line = line.startswith("!"), line.removeprefix("!").replace("\\ ", " ")
+        below, line = line.endswith("/"), line.rstrip("/")
+        anchored, line = "/" in line, line.lstrip("/")
+        body = ""
+        for piece in re.split(r"(\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]+\])", line):
+            fixed = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+            body += fixed[piece] if piece in fixed else piece.replace("[!", "[^") if piece[:1] == "[" else re.escape(piece)
+        out.append((not keep, ("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if below else "(?:/.*)?$")))
+    return out
+
+
+def confined(spark: SparkSession, root: str) -> list[str]:
+    """Paths below a local ``root`` that symbolic links take outside of it; other stores have none."""
+    start = root.removeprefix("file://") if "://" not in root.removeprefix("file://") else ""
+    if not start or not os.path.isdir(start):
+        return []
+    links = (os.path.join(d, n) for d, dirs, names in os.walk(start) for n in (*dirs, *names) if os.path.islink(os.path.join(d, n)))
+    return sorted(os.path.relpath(p, start) for p in links if not is_inside(start, p))
+
+
+def scan(spark: SparkSession, root: str, config: ProjectConfig | None = None, secrets: bool = False, search: bool = False) -> DataFrame:
     """``(file, mtime, length, text)`` of the indexable files below ``root``, in parallel.
 
-    Paths are relative to ``root``. Ignored directories and, unless asked for,
+    Paths are relative to ``root``. Ignored directories, what the project's
+    .gitignore names, what links lead outside of it and, unless asked for,
     secret files are left out; invalid UTF-8 is dropped from the text.
+    ``search`` takes the kinds of files and directories that code search
+    takes, and sorts by path.
     """
     config = config or ProjectConfig()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
     start = str(Path(root.removeprefix("file://")).resolve() if "://" not in root.removeprefix("file://") else root).rstrip("/")
     rows = raw.withColumn("file", F.substring(path, len(start) + 2, 1 << 20)).where(F.startswith(path, F.lit(start + "/")))
-    rows = rows.where(X.is_indexable(F.col("file"), config.extensions) & ~X.is_ignored(F.col("file"), config.ignore_dirs))
+    if search:
+        rows = rows.where(X.ends_with_any(F.col("file"), K.SEARCH_SUFFIXES) & ~X.ends_with_any(F.col("file"), K.SEARCH_DROPPED)).where(~X.is_below(F.col("file"), K.SEARCH_IGNORED)).orderBy("file")
+    else:
+        rows = rows.where(X.is_indexable(F.col("file"), config.extensions) & ~X.is_ignored(F.col("file"), config.ignore_dirs))
+    ignored = F.lit(False)
+    for ignore, regex in ignored_by(text_of(spark, f"{root}/.gitignore")):
+        ignored = F.when(F.col("file").rlike(regex), F.lit(ignore)).otherwise(ignored)
+    rows = rows.where(~ignored)
+    for out in confined(spark, root):
+        rows = rows.where((F.col("file") != out) & ~F.startswith("file", F.lit(out + "/")))
     rows = rows if secrets else rows.where(~X.is_secret(F.col("file")))
     text = F.regexp_replace(F.decode(F.try_validate_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8"), "�", "")
     loose = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")

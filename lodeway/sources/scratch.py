@@ -30,6 +30,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small text file, hidden ones too; empty where it is missing."""
+    at, store = _at(spark, path)
+    if not store.exists(at):
+        return ""
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Folders and files of a folder, sorted; none where it is missing."""
     at, store = _at(spark, path)

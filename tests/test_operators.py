@@ -3,8 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lodeway.operators import analytics, extract, lexical, lookup, rank, regex, render, rollup, sanitize, store, traverse, vectors
+from lodeway.operators import analytics, build, extract, lexical, lookup, rank, regex, render, rollup, sanitize, store, traverse, vectors
 from lodeway.sources import files as sources
+from lodeway.streaming import watch
 
 ENT = "file string, name string, type string, description string, line_start long, traits string"
 REL = "file string, from_name string, relation string, to_name string"
@@ -196,3 +197,95 @@ def test_cache_encodes_each_text_once(spark):
     out, new = vectors.with_cache(rows, cache, "m")
     assert new.count() == 1 and out.where("embedding is null").count() == 0
     assert render.code_results(spark.createDataFrame([(1, "f", 3, "a\nb", 0.5)], "chunk_id int, file string, line_start int, text string, score double")).first()["block"] == "f lines=3-4 score=0.5000\na\nb"
+
+
+def tree(tmp_path):
+    root = tmp_path / "project"
+    body = "def login(): pass\n" + "# some text that makes the file long enough to be indexed\n" * 2
+    for name in ("src/a.py", "src/b.py", "out/c.py", "gen/d.py", "gen/keep.py", "src/secrets.yaml", "lib/x.min.js", "lib/n.ipynb"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body + name)
+    (root / ".gitignore").write_text("# made\ngen/*\n!gen/keep.py\n/out/\n")
+    (tmp_path / "secret.py").write_text(body)
+    (root / "src" / "leak.py").symlink_to(tmp_path / "secret.py")
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere" / "e.py").write_text(body)
+    (root / "linked").symlink_to(tmp_path / "elsewhere")
+    return root
+
+
+def test_scan_keeps_inside_the_project(spark, tmp_path):
+    root = str(tree(tmp_path))
+    names = lambda **more: [r["file"] for r in sources.scan(spark, root, **more).collect()]
+    assert sorted(names()) == ["gen/keep.py", "lib/x.min.js", "src/a.py", "src/b.py"]
+    assert names(search=True) == ["gen/keep.py", "lib/n.ipynb", "src/a.py", "src/b.py"]
+    assert "src/secrets.yaml" in names(secrets=True)
+
+
+def test_build_of_a_tree_and_of_one_file(spark, tmp_path):
+    import os
+
+    root, shown = tree(tmp_path), []
+
+    def extractor(file, text):
+        return {"entities": [{"name": f"f_{file[-4]}", "type": "fn", "tags": "mine"}], "relations": [{"from": f"f_{file[-4]}", "relation": "calls", "to": "other"}]}
+
+    graph = build.GraphStore(spark, f"file://{tmp_path}/graph")
+    first = graph.build(str(root), extractor)
+    assert first["total_files"] == 5 and first["indexed"] == 5 and first["remaining"] == 0
+    files = {r["file"] for r in graph.read().entities.collect()}
+    assert "src/secrets.yaml" not in files and {"src/a.py", "src/b.py", "gen/keep.py"} <= files
+    assert {r["traits"] for r in graph.read().entities.where("name = 'f_a'").collect()} == {"exported mine"}
+    assert graph.build(str(root), extractor)["indexed"] == 0
+    (root / "src" / "b.py").unlink()
+    os.utime(root / "src" / "a.py", (1, 1))
+    again = graph.build(str(root), extractor)
+    assert again["indexed"] == 1 and again["deleted"] == 1 and again["total_files"] == 4
+    os.utime(root / "src" / "a.py", (2, 2))
+    assert graph.index_file(str(root), "src/a.py", lambda file, text: {"entities": [{"name": "new", "type": "class"}]})["indexed"] == 1
+    assert {r["name"] for r in graph.read().entities.where("file = 'src/a.py'").collect()} == {"new", "src/a.py"}
+    assert graph.read().entities.where("file = 'gen/keep.py'").count() == 2
+    assert graph.clear().entities.count() == 0 and graph.read().meta.count() == 0
+
+
+def test_streams_go_on_and_batches_count_once(spark, tmp_path):
+    rows = lambda xs: spark.createDataFrame(xs, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz")
+    import datetime
+
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    source, state = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    rows([(1, 7, "a", 1.0, day(1)), (2, 7, "a", 2.0, day(1, 5)), (3, 8, "b", 4.0, day(2))]).coalesce(1).write.parquet(source)
+    assert collected(watch.latest_meta(spark, source, state)) == [(7, 2, 2), (8, 3, 1)]
+    rows([(9, 7, "a", 8.0, day(3))]).coalesce(1).write.mode("append").parquet(source)
+    assert collected(watch.latest_meta(spark, source, state)) == [(7, 9, 3), (8, 3, 1)]
+    assert collected(watch.latest_meta(spark, source, state)) == [(7, 9, 3), (8, 3, 1)]
+    done = watch.committed(spark, state)
+    assert len(done) == 2
+    # a batch that ran, but was not noted as done, runs again
+    import shutil
+
+    for i in range(max(done), max(done) + 1):
+        for f in (tmp_path / "state" / "offsets" / "commits").glob(f"*{i}*"):
+            f.unlink()
+    assert collected(watch.latest_meta(spark, source, state)) == [(7, 9, 3), (8, 3, 1)]
+    got = collected(watch.tumbling_counts(spark, source))
+    assert got == [(day(1), "a", 2, 3.0), (day(2), "b", 1, 4.0), (day(3), "a", 1, 8.0)]
+    shutil.rmtree(source)
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodeway.sources.scratch import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")))
+
+
+def test_map_by_file_and_in_degree(spark):
+    listing = spark.createDataFrame([("b", "x", "function x:9", 0.2), ("b", "y", "function y:3", 0.1), ("a", "z", "class z", 0.15)], "file string, name string, line string, score double")
+    assert [tuple(r) for r in rank.by_file(listing).collect()] == [("b", 0.2, "  function y:3\n  function x:9"), ("a", 0.15, "  class z")]
+    ranked = spark.createDataFrame([("a", "x"), ("a", "y")], "file string, name string")
+    links = spark.createDataFrame([("a\nx", "a\ny", 2), ("b\nq", "a\ny", 1)], "src string, dst string, weight long")
+    assert collected(rank.in_degree(ranked, links)) == [("a\nx", 0.0), ("a\ny", 3.0)]
