@@ -1,20 +1,23 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A classifier of markup and wording gives each
-block a cost for either label, which become the capacities to the two
-terminals; neighbouring blocks and blocks of one parent are joined by smoothness
-edges, stronger the nearer they are in the tree. The maximum flow separates
-content from boilerplate. Blocks whose terminal outweighs all their edges keep
-their label in every minimum cut, so only the others enter the flow.
+A page is cut into text blocks. A logistic model of markup, length, links and
+wording, fitted on labelled pages (``lodeway.llm.training_pages``), gives each
+block the log-odds of being content, which is its capacity to a terminal;
+neighbouring blocks and blocks of one parent are joined by smoothness edges on
+the same scale, stronger the nearer they are in the tree. The maximum flow
+separates content from boilerplate. Blocks whose terminal outweighs all their
+edges keep their label in every minimum cut, so only the others enter the flow.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -33,9 +36,16 @@ SIBLINGS = {
 SIBLINGS = {k: frozenset(v.split()) for k, v in SIBLINGS.items()}
 _LISTS = frozenset("ul ol menu dl table".split())
 
-#: Evidence against a block from an element around it.
-AGAINST_TAG = {"nav": 9, "footer": 9, "aside": 9, "form": 9, "menu": 9, "dialog": 9, "header": 4}
-FOR_TAG = {"article": 6, "main": 4}
+#: Elements that hold boilerplate, and content.
+AGAINST_TAG = frozenset("nav footer aside form menu dialog".split())
+FOR_TAG = frozenset("article main".split())
+#: What is counted of the elements around a block, at most twice each.
+AROUND = ("against_tag", "header", "for_tag", "against_name", "for_name", "against_role", "for_role", "hidden")
+#: Features of a block: those, and what it is itself.
+FEATURES = (*AROUND, "links", "mostly_links", "words_25", "words_10", "words_below_4", "paragraph", "heading", "item", "wording", "bias")
+RIDGE = 0.3
+#: Smoothness that is tried on the labelled pages.
+STRENGTHS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 AGAINST_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _AGAINST_NAME = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|"
@@ -55,41 +65,57 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "tag", "path", "linked", "score")
+    """Text, its block element, that element's number, linked characters, and what stands around."""
 
-    def __init__(self, text: str, tag: str, path: tuple[int, ...], linked: int, score: float) -> None:
-        self.text, self.tag, self.path, self.linked, self.score = text, tag, path, linked, score
+    __slots__ = ("text", "tag", "node", "linked", "around")
 
+    def __init__(self, text: str, tag: str, node: int, linked: int, around: tuple[int, ...]) -> None:
+        self.text, self.tag, self.node, self.linked, self.around = text, tag, node, linked, around
 
-def _element_score(tag: str, attrs: str) -> float:
-    score = FOR_TAG.get(tag, 0) - AGAINST_TAG.get(tag, 0)
+
+class Page:
+    """Blocks of a page in order, and the parent and depth of every element."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [0], [0]
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two elements."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            steps += 1
+        return steps
+
+
+def _evidence(tag: str, attrs: str, in_article: bool) -> tuple[int, ...]:
+    """Counts of ``AROUND`` for one element."""
+    named: dict[str, str] = {}
     if attrs.strip(" /\t\r\n"):
-        named = {}
         for k, a, b, c in _ATTR.findall(attrs):
             named.setdefault(k.lower(), a or b or c)
-        names = f"{named.get('class', '')} {named.get('id', '')}".strip()
-        if names and tag not in ("html", "body"):
-            if _AGAINST_NAME.search(names):
-                score -= 9
-            elif _FOR_NAME.search(names):
-                score += 3
-        if named.get("role", "").lower() in AGAINST_ROLE:
-            score -= 9
-        if named.get("role", "").lower() in ("main", "article") or "articlebody" in named.get("itemprop", "").lower():
-            score += 6
-        style = named.get("style", "").replace(" ", "").lower()
-        if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in style:
-            score -= 20
-    return score
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, with the evidence of the elements around them."""
-    out: list[Block] = []
+    names = f"{named.get('class', '')} {named.get('id', '')}".strip() if tag not in ("html", "body") else ""
+    against = bool(names and _AGAINST_NAME.search(names))
+    role = named.get("role", "").lower()
+    style = named.get("style", "").replace(" ", "").lower()
+    return (
+        tag in AGAINST_TAG, tag == "header" and not in_article, tag in FOR_TAG, against, bool(names) and not against and bool(_FOR_NAME.search(names)),
+        role in AGAINST_ROLE, role in FOR_TAG or "articlebody" in named.get("itemprop", "").lower(),
+        "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in style,
+    )
+
+
+def blocks_of(page: str) -> Page:
+    """The text blocks of a page, with what the elements around them say."""
+    tree = Page()
     # tag, node number, summed evidence, whether inside an article
-    stack: list[tuple[str, int, float, bool]] = [("#", 0, 0.0, False)]
+    stack: list[tuple[str, int, tuple[int, ...], bool]] = [("#", 0, (0,) * len(AROUND), False)]
+    opened: Counter[str] = Counter()  # tags of the stack
     texts: list[str] = []
-    links, node, linked_at = 0, 0, -1
+    links, linked_at = 0, -1
 
     def close() -> None:
         nonlocal linked_at, links
@@ -99,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
                 for at in range(len(stack) - 1, -1, -1):
                     if stack[at][0] in BLOCK or at == 0:
                         break
-                out.append(Block(text, stack[at][0], tuple(x[1] for x in stack[: at + 1]), links, stack[at][2]))
+                tree.blocks.append(Block(text, stack[at][0], stack[at][1], links, stack[at][2]))
             texts.clear()
         links = 0
 
@@ -107,6 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked_at
         if any(x[0] in BLOCK for x in stack[to:]):
             close()
+        opened.subtract(x[0] for x in stack[to:])
         del stack[to:]
         if linked_at >= to:
             linked_at = -1
@@ -130,13 +157,10 @@ def blocks_of(page: str) -> list[Block]:
         at = rest.end() if rest else (page.find(">", at) + 1 or n)
         attrs = page[end : at - 1]
         if tag[2]:
-            for to in range(len(stack) - 1, 0, -1):
-                if stack[to][0] == name:
-                    pop(to)
-                    break
-            else:
-                if name in BLOCK:
-                    close()
+            if opened[name] > 0:
+                pop(next(to for to in range(len(stack) - 1, 0, -1) if stack[to][0] == name))
+            elif name in BLOCK:
+                close()
             continue
         if name in RAW and not attrs.endswith("/"):
             if name == "head":  # only what holds text is skipped, as heads are often left open
@@ -168,47 +192,38 @@ def blocks_of(page: str) -> list[Block]:
             texts.append(" ")
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        node += 1
         above = stack[-1]
-        score = _element_score(name, attrs)
-        if name == "header" and above[3]:
-            score += AGAINST_TAG["header"]  # the heading of an article itself
-        stack.append((name, node, above[2] + score, above[3] or name in ("article", "main")))
+        tree.parent.append(above[1])
+        tree.depth.append(tree.depth[above[1]] + 1)
+        told = _evidence(name, attrs, above[3])
+        around = tuple(min(2, x + y) for x, y in zip(above[2], told)) if any(told) else above[2]
+        stack.append((name, len(tree.parent) - 1, around, above[3] or name in FOR_TAG))
+        opened[name] += 1
         if name == "a" and linked_at < 0:
             linked_at = len(stack) - 1
     close()
-    return out
+    return tree
 
 
-def unary(block: Block) -> float:
-    """Evidence that a block is content (positive) or boilerplate (negative)."""
-    score, words = block.score, block.text.count(" ") + 1
-    density = min(1.0, block.linked / max(1, len(block.text)))
-    score += 1.5 if words >= 25 else 0.75 if words >= 10 else -0.25 if words >= 4 else -0.75
-    score -= 4.0 * density if density > 0.3 else 0.0
-    score += {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.0, "h2": 0.5, "li": -0.5, "td": -0.5}.get(block.tag, 0.0)
-    if words < 40 and _BOILERPLATE.search(block.text):
-        score -= 1.5
-    return score
+def features(block: Block) -> list[float]:
+    """The values of ``FEATURES``."""
+    words = block.text.count(" ") + 1
+    share = min(1.0, block.linked / max(1, len(block.text)))
+    own = (
+        share, share > 0.5, words >= 25, words >= 10, words < 4, block.tag in ("p", "blockquote", "pre"), block.tag in ("h1", "h2", "h3"),
+        block.tag in ("li", "td", "dd", "dt"), words < 40 and bool(_BOILERPLATE.search(block.text)), True,
+    )
+    return [float(x) for x in (*block.around, *own)]
 
 
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
-def smoothness(blocks: list[Block], strength: float = 1.0) -> dict[tuple[int, int], float]:
+def smoothness(page: Page, strength: float) -> dict[tuple[int, int], float]:
     """Edges between neighbours in the page and between the next blocks of one parent."""
     edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, ...], int] = {}
-    for i, b in enumerate(blocks):
+    last: dict[int, int] = {}
+    for i, b in enumerate(page.blocks):
         if i:
-            edges[i - 1, i] = strength / (1 + _distance(blocks[i - 1].path, b.path) / 2)
-        parent = b.path[:-1]
+            edges[i - 1, i] = strength / (1 + page.distance(page.blocks[i - 1].node, b.node) / 2)
+        parent = page.parent[b.node]
         j = last.get(parent)
         if j is not None:
             edges[j, i] = edges.get((j, i), 0.0) + strength / 2
@@ -216,6 +231,37 @@ def smoothness(blocks: list[Block], strength: float = 1.0) -> dict[tuple[int, in
     return edges
 
 
+def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model with a ridge, by Newton's method."""
+    w, ridge = np.zeros(x.shape[1]), RIDGE * np.diag([1.0] * (x.shape[1] - 1) + [0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+@functools.lru_cache(maxsize=1)
+def model() -> tuple[tuple[float, ...], float]:
+    """Weights of ``FEATURES``, and the smoothness with fewest errors on labelled pages that the weights have not seen."""
+    from lodeway.llm import training_pages
+
+    def labelled(seeds):
+        for seed in seeds:
+            text, content = training_pages.page(seed)
+            tree = blocks_of(text)
+            yield tree, [b.text in content for b in tree.blocks]
+
+    half = training_pages.PAGES // 2
+    first, second = (list(labelled(range(k * half, (k + 1) * half))) for k in (0, 1))
+    w = fit_weights(np.array([features(b) for t, _ in first for b in t.blocks]), np.array([y for _, ys in first for y in ys], float))
+    costs = [[float(np.dot(w, features(b))) for b in t.blocks] for t, _ in second]
+    wrong = lambda s: sum(a != b for c, (t, ys) in zip(costs, second) for a, b in zip(minimum_cut(c, smoothness(t, s)), ys))
+    return tuple(map(float, w)), min(STRENGTHS, key=lambda s: (wrong(s), s))
+
+
 def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """The content side of the minimum cut: a positive score is the capacity from the source."""
     n = len(scores)
@@ -304,26 +350,31 @@ class _Flow:
         return True
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, fitted: tuple[tuple[float, ...], float] | None = None) -> str:
     """Content blocks in page order, one a line; empty for null or empty pages and pages without content."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    chosen = minimum_cut([unary(b) for b in blocks], smoothness(blocks))
-    return "\n".join(b.text for b, on in zip(blocks, chosen) if on)
+    weights, strength = fitted or model()
+    tree = blocks_of(page)
+    scores = [sum(w * x for w, x in zip(weights, features(b)) if x) for b in tree.blocks]
+    chosen = minimum_cut(scores, smoothness(tree, strength))
+    return "\n".join(b.text for b, on in zip(tree.blocks, chosen) if on)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages``.
 
-    Null and empty pages give an empty text; repeated rows come back repeated.
-    White space inside a block, ``br`` included, is one space. Other columns
-    are ignored.
+    Null and empty pages give an empty text; repeated rows come back repeated,
+    an empty table gives an empty result. White space inside a block, ``br``
+    included, is one space. What scripts, styles, titles, buttons, lists to
+    select from, embedded drawings, formulas and other objects hold is no text
+    of the page. Other columns are ignored.
     """
+    fitted = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), fitted) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x.encode("utf-8", "replace").decode() for x in texts], pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeway.llm import common, extraction, mixing, pivots, queries, sharding, toxicity, urls
+from lodeway.llm import common, extraction, mixing, pivots, queries, sharding, toxicity, training_pages, urls
 from tests.llm import brute, data
 
 
@@ -56,7 +56,7 @@ def test_propagation_equals_power_iteration(spark):
     def rank(edges, seed):
         start = np.eye(6)[seed]
         x = start
-        for _ in range(urls.ROUNDS):
+        for _ in range(urls.MOST_ROUNDS):
             y = np.zeros(6)
             for (a, b), w in edges.items():
                 y[b] += x[a] * w / sum(v for (c, _), v in edges.items() if c == a)
@@ -72,6 +72,22 @@ def test_propagation_equals_power_iteration(spark):
     assert {h: got[h]["verdict"] for h in hosts} == dict(zip(hosts, ["allow", "allow", "allow", "block", "block", "allow"]))
 
 
+def test_distrust_runs_along_a_long_chain(spark):
+    """60 hosts that nobody rules, each linking on to the next, the last to a blocked one; and their mirror from a trusted one."""
+    pages = [page(f"h{i}.org", "/", [f"http://h{i + 1}.org/" if i < 59 else "http://bad.net/es/"]) for i in range(60)]
+    pages += [page("bad.net", "/es/"), page("good.com", "/", ["http://g0.org/"])] + [page(f"g{i}.org", "/", [f"http://g{i + 1}.org/"]) for i in range(5)]
+    got = {r["host"]: r["verdict"] for r in urls.judged(spark, spark.createDataFrame(pages, "page_id string, url string, html string")).collect()}
+    assert all(got[f"h{i}.org"] == "block" for i in range(60)) and all(got[f"g{i}.org"] == "allow" for i in range(5))
+
+
+def test_urls_of_empty_and_long_pages(spark, tmp_path):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert queries.QUERIES["op1_url_filter"](spark, data.write(spark, tmp_path, pages=empty)).count() == 0
+    long = [(1, "http://a.org/x", "<p>word</p>" * 100_000 + '<a href="http://bad.net/es/">x</a>'), (2, "http://bad.net/es/", None), (1, "http://a.org/x", "")]
+    got = urls.judged(spark, spark.createDataFrame(long, "page_id long, url string, html string")).collect()
+    assert [(r["page_id"], r["verdict"]) for r in sorted(got, key=lambda r: r["page_id"])] == [(1, "block"), (1, "block"), (2, "block")]
+
+
 # toxicity
 
 
@@ -133,6 +149,26 @@ def test_toxicity_without_labels(spark, tmp_path):
     assert 0 <= row["score"] < 0.7 and row["predicted"] == 0
 
 
+def test_toxicity_of_awkward_rows(spark, tmp_path):
+    docs, labels = labelled()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    folder = data.write(spark, tmp_path, documents=data.frame(spark, [*docs, (None, "gromp"), (None, None)]), labels=lab)
+    got = queries.QUERIES["op2_toxicity"](spark, folder).where("doc_id is null").collect()
+    assert [r["held_out"] for r in got] == [False, False]
+    empty = data.write(spark, tmp_path / "none", documents=data.frame(spark, []), labels=lab)
+    assert queries.QUERIES["op2_toxicity"](spark, empty).count() == 0
+
+
+def test_toxicity_equals_plain_scores(spark, tmp_path):
+    """Every score is the logistic of the bias and the weights of the features of the text's distinct words."""
+    docs, labels = labelled()
+    frame, lab = data.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark, frame, lab, f"not ({queries.HELD_OUT})")
+    for r in toxicity.scored(spark, frame, model).collect():
+        active = {f for w in set(toxicity._WORD.findall(r["text"].lower())) for f in toxicity.features_of(w)}
+        assert r["toxicity"] == pytest.approx(1 / (1 + math.exp(-model.bias - sum(w for f, w in model.weights.items() if f in active))))
+
+
 # sharding
 
 
@@ -222,6 +258,53 @@ def test_article_without_boilerplate():
     assert extraction.main_text(PAGE) == "The & heading\nFirst para\u00adgraph with some bold é and a link.\nSecond paragraph goes on, 3 < 4.\nitem one\nitem two"
 
 
+def test_the_cut_mends_what_the_model_alone_gets_wrong():
+    weights, strength = extraction.model()
+    alone = cut = 0
+    for seed in range(50_000, 50_150):
+        html, content = training_pages.page(seed)
+        tree = extraction.blocks_of(html)
+        scores = [float(np.dot(weights, extraction.features(b))) for b in tree.blocks]
+        labels = extraction.minimum_cut(scores, extraction.smoothness(tree, strength))
+        assert "\n".join(b.text for b, on in zip(tree.blocks, labels) if on) == extraction.main_text(html)
+        alone += sum((s > 0) != (b.text in content) for s, b in zip(scores, tree.blocks))
+        cut += sum(on != (b.text in content) for on, b in zip(labels, tree.blocks))
+    assert strength > 0 and cut < 0.6 * alone
+
+
+def test_pages_equal_all_cuts_tried():
+    """Small pages against every labelling of their blocks."""
+    weights, strength = extraction.model()
+    done = 0
+    for seed in range(60_000, 60_400):
+        html, _ = training_pages.page(seed)
+        tree = extraction.blocks_of(html)
+        n = len(tree.blocks)
+        if n > 11:
+            continue
+        done += 1
+        scores = [float(np.dot(weights, extraction.features(b))) for b in tree.blocks]
+        edges = extraction.smoothness(tree, strength)
+        on = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(bool)
+        cost = sum(np.where(on[:, i], max(0, -s), max(0, s)) for i, s in enumerate(scores)) + sum(c * (on[:, i] != on[:, j]) for (i, j), c in edges.items())
+        best = on[int(np.argmin(cost))]
+        assert extraction.main_text(html) == "\n".join(b.text for b, x in zip(tree.blocks, best) if x)
+    assert done >= 10
+
+
+def test_deep_nesting_costs_no_square():
+    import time
+
+    began = time.time()
+    assert extraction.main_text("<article>" + "<div>" * 20_000 + "<p>some words here</p>" * 2000 + "</x>" * 20_000).count("\n") == 1999
+    assert time.time() - began < 5
+
+
+def test_no_pages(spark, tmp_path):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert queries.QUERIES["op5_html_extraction"](spark, data.write(spark, tmp_path, pages=empty)).count() == 0
+
+
 def test_pages_without_markup_of_their_parts():
     prose = "This is a plain paragraph with quite a number of words, which goes on and on, so that it reads like an article."
     page = f"<div><a href=1>Home</a> <a href=2>News</a></div><div><p>{prose}</p><p>{prose}</p><p>Short.</p><p>{prose}</p></div><div><a href=3>About</a></div>"

@@ -88,6 +88,20 @@ def test_kept_text_is_the_remaining_words(spark):
     assert {(r["doc_id"], r["kept"]) for r in got.collect()} == {(1, a), (2, "new tail"), (None, a)}
 
 
+def test_equal_rows_tell_their_spans_once(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = [(1, text + " a b c"), *[(2, "x y " + text)] * 60]
+    got = substrings.repeated_windows(spark, data.frame(spark, docs)).collect()
+    assert len(got) == 1 and len(got[0]["spans"]) <= 200
+    assert data.rows(substrings.without_repeats(spark, data.frame(spark, docs), digest=True), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(docs), key=repr)
+
+
+def test_long_opaque_tokens_are_candidates(spark):
+    token = "aB3d" * 22
+    (row,) = secrets.scan(spark, data.frame(spark, [(1, f"user: alice {token}")])).collect()
+    assert [secrets.KINDS[x["k"]] for x in row["linked"]] == ["account", "opaque"]
+
+
 def test_weak_candidates_need_their_parts(spark):
     far = " filler" * 100
     opaque = "Zq9" + "aB3" * 11
