@@ -23,7 +23,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, ROUNDS, CLOSE = 0.85, 30, 1e-6
+DAMPING, CLOSE = 0.85, 1e-6
+#: Rounds at most; the damping alone brings the change below CLOSE in about 90.
+MOST_ROUNDS = 200
 #: Share of distrust in trust and distrust from which a host is blocked.
 THRESHOLD = 0.5
 _HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
@@ -64,7 +66,7 @@ def propagated(scratch: Scratch, nodes: DataFrame, edges: DataFrame, seed: str)
     """``(host, score)`` by PageRank personalised to the column ``seed`` of ``nodes``; scores sum to 1.
 
     What hosts without links on would pass on returns to the seeds. Without
-    seeds every score is 0.
+    seeds every score is 0. Rounds end when all scores together move by less than ``CLOSE``.
     """
     total = nodes.agg(F.sum(seed).alias("s")).first()["s"] or 0
     start = (F.col(seed) / F.lit(float(total)) if total else F.lit(0.0)).cast("double")
@@ -77,7 +79,7 @@ def propagated(scratch: Scratch, nodes: DataFrame, edges: DataFrame, seed: str)
     if shares.isEmpty():
         return now
     old = None
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         moved = shares.join(now.withColumnRenamed("host", "src"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         moved = scratch.save(moved.withColumnRenamed("dst", "host"))
         passed = moved.agg(F.sum("in").alias("s")).first()["s"] or 0.0
@@ -92,8 +94,8 @@ def propagated(scratch: Scratch, nodes: DataFrame, edges: DataFrame, seed: str)
             scratch.drop(old)
         now = old = new
         if gap < CLOSE:
-            break
-    return now
+            return now
+    raise RuntimeError(f"scores still move by {gap} after {MOST_ROUNDS} rounds")
 
 
 def judged(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,8 +103,9 @@ def judged(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float
 
     Urls that no rule fits get the verdict of their host: ``block`` when
     distrust / (trust + distrust) is above ``threshold``, else ``allow``; hosts
-    that neither reaches, and urls without host, are allowed. Repeated rows come
-    back repeated; other columns are ignored.
+    that neither reaches, and urls without host, are allowed. Null and empty
+    urls have no host, null and empty pages no links. Repeated rows come
+    back repeated, an empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(spark, "urls")
     url = F.col("url").cast("string")
