@@ -25,7 +25,7 @@ BASE = {
 }
 WEAK = {
     "account": (r"(?i)(?<![a-z0-9_])(?:user(?:name)?|login|account|client_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@+._-]{3,}", 0, 1),
-    "opaque": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/_-])", 0, 32),
+    "opaque": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/_-])", 0, 32),
     "endpoint": (r"(?i)(?<![a-z0-9])(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._:@/-]{4,}", 0, 1),
 }
 KINDS = [*BASE, *WEAK]
