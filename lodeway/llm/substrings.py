@@ -208,7 +208,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = 50, bit
     part = part.select("doc_id", "text_key", "start", F.explode("is").alias("i"))
     part = part.select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"))
     every = gone.unionByName(part.withColumn("end", F.col("start")))
-    return every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return every.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # rows alike tell the same
 
 
 def _cut(window: int):
