@@ -24,7 +24,8 @@ from lodeway.llm.common import Scratch
 
 #: Labelled documents of each class that the fit takes at most, by least hash of doc_id.
 FIT_ROWS = 4000
-#: Features that the model keeps at most, and the least evidence (standard errors) for each.
+#: Size of the model: the features of most evidence that it keeps, and the least evidence (standard errors) for each. A
+#: bound on what is learnt, not on what is read: evidence is counted over all words of all fit rows.
 FEATURES, EVIDENCE = 4096, 4.0
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
@@ -137,7 +138,13 @@ def fit(labels: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable=None) -> Model:
-    """Fit on at most ``FIT_ROWS`` documents of each class among the labels that ``usable`` admits."""
+    """Fit on at most ``FIT_ROWS`` documents of each class among the labels that ``usable`` admits.
+
+    Rows of one doc_id count as toxic if one of their labels says so; labels
+    other than 0 and 1 and rows without doc_id are ignored. Without usable
+    labels of both classes, or documents for them, the model gives every text
+    the same low score.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     known = known.where(usable) if usable is not None else known
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
@@ -180,7 +187,11 @@ def evident(rows: DataFrame) -> list[int]:
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with its columns and ``toxicity`` (0 to 1); null and empty texts get the bias alone."""
+    """``docs`` with its columns and ``toxicity`` (0 to 1), which replaces a column of that name.
+
+    Null and empty texts get the bias alone. Repeated rows come back repeated
+    with equal scores, an empty table gives an empty result.
+    """
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
