@@ -5,13 +5,15 @@ similarity. Inverted lists are kept for pairs of pivots, so two vectors meet in
 a list exactly when they share two or more of their nearest pivots; every pair
 that meets is verified by its cosine in double precision, and counted only in
 the list of its two least shared pivots. Reference points are a bounded sample
-of the vectors (``PIVOTS`` of them); all vectors are indexed. Lists of more than
+of the vectors (``MOST_PIVOTS`` at most); all vectors are indexed. Lists hold ids;
+vectors are fetched for those that hold two or more. Lists of more than
 ``CHUNK`` vectors are verified chunk against chunk in different tasks.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,9 @@ from pyspark.sql import types as T
 
 from lodeway.llm.common import Scratch, connected_components, n_partitions
 
-PIVOTS, NEAREST, CHUNK = 256, 6, 1024
+NEAREST, CHUNK = 6, 1024
+#: Reference points: the square root of the vectors, so that lists stay short as vectors get more, within these bounds.
+PIVOTS, MOST_PIVOTS = 256, 4096
 #: Random reference points for a dimension that the sample misses.
 SPARE = 32
 
@@ -166,7 +170,7 @@ def near_duplicates(
     rows = rows.withColumn("ok", ok).withColumn("vector_key", F.xxhash64("embedding"))
     good = rows.where("ok").groupBy("label", "vector_key", "embedding").agg(F.count("*").alias("count"), F.min("vec_id").alias("node"))
     good = scratch.save(good.withColumn("label_key", F.xxhash64("label")).withColumn("dim", F.size("embedding").cast("long")))
-    sample = good.select("embedding", "vector_key").orderBy("vector_key").limit(PIVOTS).collect()
+    sample = good.select("embedding", "vector_key").orderBy("vector_key").limit(max(PIVOTS, min(MOST_PIVOTS, math.isqrt(good.count())))).collect()
     points = _pivots([r["embedding"] for r in sample])
     described = scratch.save(
         good.mapInArrow(_described(points), T.StructType([*good.schema.fields, T.StructField("tops", T.ArrayType(T.IntegerType()))]))
@@ -176,19 +180,17 @@ def near_duplicates(
         F.struct(F.get("tops", i).alias("p"), F.get("tops", j).alias("q")) for i, j in itertools.combinations(range(NEAREST), 2)
     ]
     lists = ["label_key", "dim", "p", "q"]
-    large = (
-        described.select("label_key", "dim", F.inline(F.array(*pairs))).groupBy(*lists)
-        .agg(F.count("*").alias("m")).where(F.col("m") > chunk)
-        .select(*lists, F.ceil(F.col("m") / chunk).cast("int").alias("chunks"))
-    )
-    posted = described.select("label_key", "dim", "node", "count", "embedding", "tops", "vector_key", F.inline(F.array(*pairs)))
-    posted = posted.join(large, lists, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    ids = ["label_key", "dim", "vector_key", "node"]
+    listed = described.select(*ids, F.inline(F.array(*pairs)))
+    shared = listed.groupBy(*lists).agg(F.count("*").alias("m")).where("m > 1")
+    listed = listed.join(shared.select(*lists, F.ceil(F.col("m") / chunk).cast("int").alias("chunks")), lists)
     own = F.pmod(F.shiftrightunsigned("vector_key", 7), F.col("chunks")).cast("int")
-    posted = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    posted = posted.select(
-        *lists, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "count", "embedding", "tops",
+    listed = listed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    listed = listed.select(
+        *ids, "p", "q", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
+    posted = listed.join(described.select(*ids, "count", "embedding", "tops"), ids)
+    posted = posted.select(*lists, "i", "j", "side", "node", "count", "embedding", "tops")
     posted = posted.repartition(n_partitions(spark), *lists, "i", "j").sortWithinPartitions(*lists, "i", "j", "side")
     found = scratch.save(posted.mapInArrow(_verified(least), "node long, partners long, root long"))
     comp = connected_components(spark, found.where("node != root"), "node", "root")
