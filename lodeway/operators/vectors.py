@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,8 @@ from pyspark.sql import Window as W
 from lodeway.functions import constants as K
 from lodeway.functions import text as X
 
-BLOCK = 1024
+#: Vectors of a block at most, and queries of one matrix product.
+BLOCK, TILE = 8192, 1024
 
 
 def hashed(tokens: list[str], dim: int = 64) -> list[float]:
@@ -80,7 +82,10 @@ def neighbours(vectors: DataFrame, k: int, key: str = "vec_id", block: int = BLO
     Vectors are dealt to blocks, and each pair of blocks is one matrix product
     in one task that keeps k rows a query; their winners are ranked by a window.
     """
-    n = max(1, -(-vectors.count() // block))
+    count = vectors.count()
+    # As few blocks as memory allows, since each vector goes to all of them, but enough for the cores.
+    cores = math.isqrt(vectors.sparkSession.sparkContext.defaultParallelism)
+    n = max(1, -(-count // block), min(cores, -(-count // TILE)))
     rows = vectors.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(n - 1))
@@ -92,14 +97,17 @@ def neighbours(vectors: DataFrame, k: int, key: str = "vec_id", block: int = BLO
         q, d = pair[pair.side == 0], pair[pair.side == 1].sort_values("id")
         if not len(q) or not len(d):
             return pd.DataFrame({"query": [], "neighbour": [], "score": []})
-        s = np.stack(q.v) @ np.stack(d.v).T
-        s[q.id.to_numpy()[:, None] == d.id.to_numpy()[None, :]] = -np.inf
-        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({
-            "query": np.repeat(q.id.to_numpy(), at.shape[1]), "neighbour": d.id.to_numpy()[at].ravel(),
-            "score": np.take_along_axis(s, at, 1).ravel(),
-        })
-        return out[np.isfinite(out.score)]
+        data, ids, out = np.stack(d.v).T, d.id.to_numpy(), []
+        for start in range(0, len(q), TILE):
+            some = q.iloc[start : start + TILE]
+            s = np.stack(some.v) @ data
+            s[some.id.to_numpy()[:, None] == ids[None, :]] = -np.inf
+            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({
+                "query": np.repeat(some.id.to_numpy(), at.shape[1]), "neighbour": ids[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel(),
+            }))
+        found = pd.concat(out)
+        return found[np.isfinite(found.score)]
 
     found = sides.groupBy("a", "b").applyInPandas(best, "query long, neighbour long, score double")
     order = W.partitionBy("query").orderBy(F.desc("score"), "neighbour")

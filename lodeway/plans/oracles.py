@@ -6,7 +6,7 @@ import math
 
 from lodeway.functions import constants as K
 from lodeway.functions import text as X
-from lodeway.operators import lexical, rank
+from lodeway.operators import analytics, lexical, rank
 from lodeway.plans import queries as Q
 from lodeway.sources.adapters import plain_sql
 
@@ -161,6 +161,21 @@ ORACLES: dict[str, str] = {
       near as (select e.vec_id, {DOT.format(a='e.embedding', b='q.embedding')} as score from embeddings e, (select embedding from embeddings where vec_id = 5) q order by 2 desc, 1 limit 80),
       best as (select vec_id, name, type, score, row_number() over (partition by name order by score desc, vec_id) as r from near join names using (vec_id) where score >= 0.1 and name <> 'E5' and type in ('class', 'function'))
       select vec_id, name, type, round(score, 6) as score from best where r = 1 order by best.score desc, vec_id limit 10""",
+    "dead_code_verified": f"""with l as (select unnest(string_split(text, chr(10))) as line from documents), c as (select line, regexp_replace(line, '^\\s+', '') as start from l),
+      p as (select line, {' || '.join(f"regexp_extract_all(line, '{x}', 1)" for x in analytics.DECLARED)} as declared from c where not ({' or '.join("starts_with(start, '" + m.replace("'", "''") + "')" for m in K.COMMENT_MARKS)})),
+      used as (select distinct unnest(list_filter(regexp_extract_all(line, '[\\w$]+'), lambda x: not list_contains(declared, x))) as name from p),
+      names as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) as name from documents)
+      select name from names where name not in (select name from used) and name not in ({quoted(K.FRAMEWORK_METHODS)})""",
+    "extractor_payload": f"with files as ({FILES}) select file, nullif(regexp_extract(text, '\\S+'), '') as name, cast(regexp_matches(text, '\\S') as int) as n_relations from files",
+    "memory_listing": """with t as (select *, row_number() over (partition by role order by conv_id desc, turn desc) as r from conversations)
+      select role, count(*) as n, max(conv_id) as newest, string_agg(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 80), chr(10) order by r) filter (where r <= 5) as listing from t group by role""",
+    "search_report": f"""with {bm25(Q.TEXT_QUERY)}, best as (select chunk_id, bm25 as score from bm order by bm.bm25 desc, chunk_id limit 8)
+      select chunk_id, file || ' lines=1-' || len(string_split(text, chr(10))) || ' score=' || printf('%.4f', score) || chr(10) || substr(text, 1, 300) as block from best join chunks using (chunk_id)""",
+    "sanitize_entities": f"""{KG}, raw as (select file, case when line_start % 7 = 0 then name || '.py' else name end as name, line_start % 5 as k, type, traits from entities)
+      select file, name, case k when 0 then 'class' when 1 then 'symbol' else type end as type,
+      array_to_string(list_filter(list_concat(string_split(traits, ' '), [case when k = 1 then 'gizmo' else '' end]), lambda x: x <> ''), ',') as tags from raw where name not like '%.py' or name = file""",
+    "structural_search": f"{HTML}, l as (select file, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from p) select file, n as line, unnest(regexp_extract_all(line, 'track\\([^,()]+?\\)')) as match from l",
+    "embed_documents": f"""with {CHUNKS}, {TOKENIZED} select chunk_id as doc_id, substr(sha256('m' || chr(10) || text), 1, 32) as hash, case when len(ts) > 0 then 1.0 else 0.0 end as norm from tokens join documents on doc_id = chunk_id""",
     "embedding_cache": "select substr(sha256('hashed-64' || chr(10) || text), 1, 32) as hash, count(*) as n, min(doc_id) as first from documents group by 1",
     "find_usages": f"{KG} {USAGES}",
     "get_callers": f"{KG} select file, from_name as caller from ({USAGES}) where relation = 'calls'",
