@@ -195,6 +195,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = 50, bit
     whole = segs.select("doc_id", "text_key", "start", "m", "content", F.size("hashes").alias("n"))
     whole = whole.join(held.select("m", "content", "first"), ["m", "content"])
     gone = whole.where("doc_id > first").select("doc_id", "text_key", "start", (F.col("start") + F.col("n") - 1).alias("end"))
+    gone = scratch.save(gone)  # a stage of its own, in which the rows of a segment that very many share can be split
     # Single windows, where different segments share a minimizer.
     several = held.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
     single = held.join(several, "m").select("m", "content", "first", F.posexplode("hashes").alias("i", "w"))
