@@ -52,7 +52,9 @@ def build_index(chunks: DataFrame, folder: str) -> SearchIndex:
     """Tokenise ``chunks`` once and write their postings, sorted by term so that a query reads few of them."""
     spark = chunks.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = postings(chunks).repartitionByRange(parts, "term").sortWithinPartitions("term", "chunk_id")
+    cores = spark.sparkContext.defaultParallelism
+    few = chunks.rdd.getNumPartitions() < cores  # a small file that cannot be split: its texts are dealt out, as tokens cost more
+    rows = postings(chunks.repartition(cores) if few else chunks).repartitionByRange(parts, "term").sortWithinPartitions("term", "chunk_id")
     rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
     posted = spark.read.parquet(f"{folder}/postings")
     n = chunks.count()
