@@ -78,18 +78,24 @@ def _once(names: list[str]) -> list[str]:
     return list(out.values())
 
 
+# What is a compound identifier, a word of a name, and a piece of one. They define which literals and tokens a query has.
+COMPOUND = r"[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)+"
+CAMEL = r"\b(?:[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)\b"
+NAME_WORD = r"[A-Za-z0-9_]+"
+NAME_PIECE = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+"
+
+
 def query_literals(query: str) -> list[str]:
     """Compound identifiers of a query, first kebab, snake and dotted ones, then camel case; 4 characters or more."""
-    found = re.findall(r"[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)+", query)
-    found += re.findall(r"\b(?:[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)\b", query)
+    found = re.findall(COMPOUND, query) + re.findall(CAMEL, query)
     return _once([x for x in found if len(x) >= 4])
 
 
 def query_tokens(query: str) -> list[str]:
     """Words of a name query and their pieces, two characters or more, each once in any case."""
     out: list[str] = []
-    for word in re.findall(r"[A-Za-z0-9_]+", query):
-        pieces = [word, *(p for u in word.split("_") for p in (u, *re.findall(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+", u)))]
+    for word in re.findall(NAME_WORD, query):
+        pieces = [word, *(p for u in word.split("_") for p in (u, *re.findall(NAME_PIECE, u)))]
         out += [p for p in pieces if len(p) >= 2]
     return _once(out)
 

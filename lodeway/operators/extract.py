@@ -18,6 +18,13 @@ from lodeway.functions import constants as K
 from lodeway.functions import text as X
 
 
+# What the extraction of stylesheets, configurations and templates looks for, which defines its results.
+BRACED, PROPERTY, IMPORTED = r"([^{}]+)\{", r"(--[A-Za-z0-9_-]+)\s*:", r"@import\s+(?:url\()?['\"]([^'\"]+)['\"]"
+LOOSE_KEY = r"(?m)^[ \t]*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*[:=]"
+TAG, CLASS, ID = r"<([A-Za-z][A-Za-z0-9:_-]*)", r"class(?:Name)?\s*=\s*[\"']([^\"']+)[\"']", r"id\s*=\s*[\"']([^\"']+)[\"']"
+CALL, USE = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", r"\b([a-zA-Z_][A-Za-z0-9_]*)\b(?!\s*\()"
+
+
 def _found(files: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     return files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("pos", "name"))
 
@@ -30,10 +37,10 @@ def _distinct(rows: DataFrame) -> DataFrame:
 
 def stylesheet(files: DataFrame) -> DataFrame:
     """Selectors before braces, custom properties and imports: ``(file, name, type, relation, pos)``."""
-    blocks = _found(files, r"([^{}]+)\{").where(~F.startswith(F.trim(F.regexp_replace("name", r"^\s+", "")), F.lit("@")))
+    blocks = _found(files, BRACED).where(~F.startswith(F.trim(F.regexp_replace("name", r"^\s+", "")), F.lit("@")))
     selectors = blocks.select("file", "pos", F.explode(F.split("name", ",")).alias("name"), F.lit("selector").alias("type"))
-    properties = _found(files, r"(--[A-Za-z0-9_-]+)\s*:").withColumn("type", F.lit("variable"))
-    imports = _found(files, r"@import\s+(?:url\()?['\"]([^'\"]+)['\"]").withColumn("type", F.lit("import"))
+    properties = _found(files, PROPERTY).withColumn("type", F.lit("variable"))
+    imports = _found(files, IMPORTED).withColumn("type", F.lit("import"))
     rows = _distinct(reduce(DataFrame.unionByName, [selectors, properties, imports]))
     return rows.select("file", "name", "type", F.when(F.col("type") == "import", "imports").otherwise("defines").alias("relation"), "pos")
 
@@ -54,7 +61,7 @@ def toml_keys(texts: pd.Series) -> pd.Series:
 def config_keys(files: DataFrame) -> DataFrame:
     """Top-level keys of TOML and JSON files, else ``key:`` and ``key =`` at line starts: ``(file, name)``."""
     name = F.lower("file")
-    loose = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*[:=]"), F.lit(1))
+    loose = F.regexp_extract_all("text", F.lit(LOOSE_KEY), F.lit(1))
     toml = files.where(F.endswith(name, F.lit(".toml"))).select("file", F.coalesce(toml_keys("text"), loose).alias("keys"))
     other = files.where(~F.endswith(name, F.lit(".toml")))
     parsed = F.when(F.endswith(name, F.lit(".json")), F.json_object_keys("text"))
@@ -65,7 +72,7 @@ def config_keys(files: DataFrame) -> DataFrame:
 
 def template_tags(files: DataFrame) -> DataFrame:
     """``(file, name, type, relation, n)`` of the tags of templates; dashed and prefixed ones are used components."""
-    rows = _found(files, r"<([A-Za-z][A-Za-z0-9:_-]*)").groupBy("file", "name").agg(F.count("*").alias("n"))
+    rows = _found(files, TAG).groupBy("file", "name").agg(F.count("*").alias("n"))
     component = F.col("name").rlike("[-:]")
     return rows.select(
         "file", "name", F.when(component, "component").otherwise("template").alias("type"),
@@ -75,10 +82,10 @@ def template_tags(files: DataFrame) -> DataFrame:
 
 def template_selectors(files: DataFrame) -> DataFrame:
     """``(file, name)`` of class and id selectors."""
-    classes = _found(files, r"class(?:Name)?\s*=\s*[\"']([^\"']+)[\"']")
+    classes = _found(files, CLASS)
     classes = classes.select("file", F.explode(F.split(F.trim("name"), r"\s+")).alias("name")).where("name != ''")
     classes = classes.select("file", F.concat(F.lit("."), F.col("name")).alias("name"))
-    ids = _found(files, r"id\s*=\s*[\"']([^\"']+)[\"']").select("file", F.concat(F.lit("#"), F.col("name")).alias("name"))
+    ids = _found(files, ID).select("file", F.concat(F.lit("#"), F.col("name")).alias("name"))
     return classes.unionByName(ids).distinct()
 
 
@@ -94,8 +101,8 @@ EXPRESSIONS = [
 def template_references(files: DataFrame) -> DataFrame:
     """``(file, relation, name)``: calls and uses in the bindings of templates; a call hides the use of its name."""
     scanned = reduce(DataFrame.unionByName, [_found(files, p) for p in EXPRESSIONS]).select("file", F.col("name").alias("text"))
-    calls = _found(scanned, r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(").select("file", "name").distinct()
-    uses = _found(scanned, r"\b([a-zA-Z_][A-Za-z0-9_]*)\b(?!\s*\()").select("file", "name").distinct()
+    calls = _found(scanned, CALL).select("file", "name").distinct()
+    uses = _found(scanned, USE).select("file", "name").distinct()
     calls = calls.where(~F.col("name").isin(K.TEMPLATE_LITERALS))
     uses = uses.where(~F.col("name").isin(K.TEMPLATE_LITERALS + K.TEMPLATE_LOCALS)).join(calls, ["file", "name"], "left_anti")
     return calls.select("file", F.lit("calls").alias("relation"), "name").unionByName(uses.select("file", F.lit("uses").alias("relation"), "name"))

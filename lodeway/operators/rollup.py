@@ -58,7 +58,9 @@ for(const e of d.module_edges){const r=t.insertRow();for(const k of ["src","dst"
 
 
 def html_page(modules: DataFrame, title: str, most: int = 5000) -> str:
-    """One page with the heaviest module edges; nothing in it can close the script."""
+    """One page with the ``most`` heaviest module edges, which says how many more there are; nothing in it can close the script."""
     rows = [r.asDict() for r in modules.orderBy(F.desc("weight"), "src", "dst").limit(most).collect()]
+    left = modules.count() - len(rows) if len(rows) == most else 0
+    title = f"{title} ({left} lighter edges are not shown)" if left else title
     safe = lambda x: x.replace("&", "&amp;").replace("<", "&lt;")
     return PAGE % (safe(title), safe(title), json.dumps({"module_edges": rows}).replace("<", "\\u003c"))
