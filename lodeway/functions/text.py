@@ -15,6 +15,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: What ends a line of a file, whatever system wrote it.
+LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text; a line end at the very end starts no further one."""
+    return F.split(F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"\n\z", ""), "\n", -1)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def tokens(text: Column) -> Column:
     """Index tokens: camel case and separators split, lower-cased, two characters or more.
 

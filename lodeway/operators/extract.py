@@ -21,6 +21,7 @@ from lodeway.functions import text as X
 # What the extraction of stylesheets, configurations and templates looks for, which defines its results.
 BRACED, PROPERTY, IMPORTED = r"([^{}]+)\{", r"(--[A-Za-z0-9_-]+)\s*:", r"@import\s+(?:url\()?['\"]([^'\"]+)['\"]"
 LOOSE_KEY = r"(?m)^[ \t]*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*[:=]"
+LENIENT = {"allowComments": "true", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowNonNumericNumbers": "true", "allowNumericLeadingZeros": "true"}
 TAG, CLASS, ID = r"<([A-Za-z][A-Za-z0-9:_-]*)", r"class(?:Name)?\s*=\s*[\"']([^\"']+)[\"']", r"id\s*=\s*[\"']([^\"']+)[\"']"
 CALL, USE = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", r"\b([a-zA-Z_][A-Za-z0-9_]*)\b(?!\s*\()"
 
@@ -59,12 +60,16 @@ def toml_keys(texts: pd.Series) -> pd.Series:
 
 
 def config_keys(files: DataFrame) -> DataFrame:
-    """Top-level keys of TOML and JSON files, else ``key:`` and ``key =`` at line starts: ``(file, name)``."""
+    """Top-level keys of TOML and JSON files, else ``key:`` and ``key =`` at line starts: ``(file, name)``.
+
+    JSON may have comments, bare keys, single quotes and trailing commas.
+    """
     name = F.lower("file")
     loose = F.regexp_extract_all("text", F.lit(LOOSE_KEY), F.lit(1))
     toml = files.where(F.endswith(name, F.lit(".toml"))).select("file", F.coalesce(toml_keys("text"), loose).alias("keys"))
     other = files.where(~F.endswith(name, F.lit(".toml")))
-    parsed = F.when(F.endswith(name, F.lit(".json")), F.json_object_keys("text"))
+    free = F.from_json(F.regexp_replace("text", r",(\s*[}\]])", "$1"), "map<string,string>", LENIENT)
+    parsed = F.when(F.rlike(name, F.lit(r"\.json5?\z")), F.coalesce(F.json_object_keys("text"), F.map_keys(free)))
     other = other.select("file", F.coalesce(parsed, loose).alias("keys"))
     rows = toml.unionByName(other).select("file", F.explode("keys").alias("name"))
     return rows.withColumn("name", X.one_spaced(F.col("name"), 160)).where("name != ''").distinct()
@@ -114,10 +119,28 @@ def strategy(path: Column) -> Column:
     return F.when(kind.isin("style", "config", "template"), kind).otherwise("model")
 
 
+def structured(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(entities, relations)`` of stylesheets, configurations and templates (file, text), each by its own rules.
+
+    Entities are (file, name, type), relations (file, from_name, relation,
+    to_name) start at the file. Other files have neither.
+    """
+    of = {k: files.where(strategy(F.col("file")) == k) for k in ("style", "config", "template")}
+    row = ["file", "name", "type", "relation"]
+    selector = [F.lit("selector").alias("type"), F.lit("defines").alias("relation")]
+    named = stylesheet(of["style"]).select(row)
+    named = named.unionByName(config_keys(of["config"]).select("file", "name", F.lit("variable").alias("type"), F.lit("defines").alias("relation")))
+    named = named.unionByName(template_tags(of["template"]).select(row)).unionByName(template_selectors(of["template"]).select("file", "name", *selector))
+    entities = named.select("file", "name", "type").distinct()
+    relations = named.select("file", "relation", F.col("name").alias("to_name"))
+    relations = relations.unionByName(template_references(of["template"]).select("file", "relation", F.col("name").alias("to_name")))
+    return entities, relations.select("file", F.col("file").alias("from_name"), "relation", "to_name").distinct()
+
+
 def chunks(files: DataFrame, size: int = 60, overlap: int = 15, least: int = 60, whole: int = 10) -> DataFrame:
     """``(file, line_start, text)``: windows of lines; a file with none of ``least`` characters is one chunk of ``whole`` or more."""
     stride = size - overlap
-    lines = F.split("text", "\n", -1)
+    lines = X.lines(F.col("text"))
 
     def windows(ls: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(ls) - 1, F.lit(stride))
@@ -128,7 +151,7 @@ def chunks(files: DataFrame, size: int = 60, overlap: int = 15, least: int = 60,
             ),
         )
         good = F.filter(cut, lambda w: F.length(F.regexp_replace(w["text"], r"^\s+", "")) >= least)
-        whole_text = F.array_join(ls, "\n")
+        whole_text = F.regexp_replace(F.array_join(ls, "\n"), r"\s+\z", "")
         one = F.when(
             F.length(F.regexp_replace(whole_text, r"^\s+|\s+$", "")) >= whole, F.array(F.struct(F.lit(1).alias("line_start"), whole_text.alias("text")))
         )
@@ -143,7 +166,7 @@ def fixed_chunks(files: DataFrame, size: int = 100) -> DataFrame:
         F.sequence(F.lit(0), F.size(ls) - 1, F.lit(size)),
         lambda i: F.struct((i + 1).alias("line_start"), F.array_join(F.slice(ls, i + 1, size), "\n").alias("text")),
     )
-    rows = files.where("text is not null").select("file", F.inline(X.let(F.split("text", "\n", -1), cut)))
+    rows = files.where("text is not null").select("file", F.inline(X.let(X.lines(F.col("text")), cut)))
     return rows.where(F.col("text").rlike(r"\S"))
 
 
@@ -151,20 +174,26 @@ def locate(entities: DataFrame, files: DataFrame) -> DataFrame:
     """``(file, name, line_start, line_end, snippet)``: where entities stand in their file.
 
     The first line with a definition of the name or its leaf counts before one
-    with ``leaf(``, and that before a bare mention; equal patterns take the
-    first line.
+    with ``leaf(``, where the name is dotted, and that before a bare mention;
+    equal patterns take the first line. The place ends two lines further down.
+    Each file's lines are read once for all of its names.
     """
-    lines = files.select("file", F.split("text", "\n", -1).alias("lines"))
-    rows = entities.select("file", "name").distinct().join(lines, "file")
-    leaf = X.leaf(F.col("name"))
-    words = [F.concat(F.lit(w + " "), n) for n in (F.col("name"), leaf) for w in ("def", "class", "function", "const", "let", "var")]
-    patterns = F.array(*words, F.concat(leaf, F.lit("(")), F.col("name"), leaf)
-    at = F.transform(patterns, lambda p: F.array_position(F.transform("lines", lambda x: x.contains(p)), True))
-    rows = rows.withColumn("at", F.coalesce(F.get(F.filter(at, lambda i: i > 0), 0), F.lit(0)).cast("int"))
-    first = F.greatest(F.col("at") - 1, F.lit(1))
-    piece = F.trim(F.array_join(F.slice("lines", first, F.col("at") + 3 - first), "\n"))
+    names = entities.select("file", "name").distinct().groupBy("file").agg(F.collect_list("name").alias("names"))
+    rows = names.join(files.select("file", X.lines(F.col("text")).alias("lines")), "file")
+
+    def place(name: Column) -> Column:
+        last = X.leaf(name)
+        leaf = F.when((last != "") & (last != name), last)
+        words = [F.concat(F.lit(w + " "), n) for n in (name, leaf) for w in ("def", "class", "function", "const", "let", "var")]
+        patterns = F.array_compact(F.array(*words, F.concat(leaf, F.lit("(")), name, leaf))
+        at = F.transform(patterns, lambda p: F.array_position(F.transform("lines", lambda x: x.contains(p)), True))
+        return F.struct(name.alias("name"), F.coalesce(F.get(F.filter(at, lambda i: i > 0), 0), F.lit(0)).cast("int").alias("at"))
+
+    rows = rows.select("file", "lines", F.explode(F.transform("names", place)).alias("hit")).select("file", "hit.name", "hit.at", "lines")
+    first = F.greatest(F.col("at") - 2, F.lit(1))
+    end = F.least(F.size("lines"), F.col("at") + 2)
+    piece = X.stripped(F.array_join(F.slice("lines", first, end + 1 - first), "\n"))
     found = F.col("at") > 0
     return rows.select(
-        "file", "name", F.when(found, F.col("at")).alias("line_start"),
-        F.when(found, F.least(F.size("lines"), F.col("at") + 3)).alias("line_end"), F.when(found, piece).alias("snippet"),
+        "file", "name", F.when(found, F.col("at")).alias("line_start"), F.when(found, end).alias("line_end"), F.when(found, piece).alias("snippet"),
     )

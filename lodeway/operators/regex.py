@@ -55,11 +55,11 @@ def search(files: DataFrame, pattern: str, glob: str | None = None, ignore_case:
 
 def raw_occurrences(files: DataFrame, text: str, around: int = 2, limit: int | None = None) -> DataFrame:
     """``(file, line, context)`` of the lines that hold ``text`` in any case, with the lines around."""
-    rows = files.where(F.lower("text").contains(text.lower())).select("file", F.split("text", "\n", -1).alias("lines"))
+    rows = files.where(F.lower("text").contains(text.lower())).select("file", X.lines(F.col("text")).alias("lines"))
     rows = rows.select("file", "lines", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.lower("line").contains(text.lower()))
     first = F.greatest(F.col("pos") + 1 - around, F.lit(1))
-    context = F.array_join(F.slice("lines", first, F.col("pos") + 2 + around - first), "\n")
+    context = X.stripped(F.array_join(F.slice("lines", first, F.col("pos") + 2 + around - first), "\n"))
     out = rows.select("file", (F.col("pos") + 1).alias("line"), context.alias("context"))
     return out.orderBy("file", "line").limit(limit) if limit else out
 

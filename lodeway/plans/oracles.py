@@ -239,8 +239,8 @@ ORACLES: dict[str, str] = {
     "config_keys": "select name, count(*) as n from (select unnest(json_keys(props)) as name from events) group by name",
     "config_lines": f"with files as (select doc_id as file, regexp_replace(text, '(?m)^([A-Za-z]{{4}})[a-z]* ', '\\1: ', 'g') as text from documents), k as (select distinct file, regexp_extract(l, '^[ \\t]*[\"'']?([A-Za-z0-9_.-]+)[\"'']?\\s*[:=]', 1) as name from (select file, unnest(string_split(text, chr(10))) as l from files)) select name, count(*) as n from k where name <> '' group by name",
     "snippet_locator": f"""with files as ({FILES}), l as (select file, string_split(text, chr(10)) as l from files), n(name, leaf) as (values ('der', 'der'), ('pkg.the', 'the'), ('zzzz', 'zzzz')),
-      c as (select file, name, len(l) as lines, list_filter([list_position(list_transform(l, lambda x: contains(x, p)), true) for p in ['def ' || name, 'class ' || name, 'function ' || name, 'const ' || name, 'let ' || name, 'var ' || name, 'def ' || leaf, 'class ' || leaf, 'function ' || leaf, 'const ' || leaf, 'let ' || leaf, 'var ' || leaf, leaf || '(', name, leaf]], lambda i: i > 0)[1] as pos from l, n)
-      select file, name, cast(pos as bigint) as line_start, cast(case when pos is not null then least(lines, pos + 3) end as bigint) as line_end from c""",
+      c as (select file, name, len(l) as lines, list_filter([list_position(list_transform(l, lambda x: contains(x, p)), true) for p in ['def ' || name, 'class ' || name, 'function ' || name, 'const ' || name, 'let ' || name, 'var ' || name, 'def ' || leaf, 'class ' || leaf, 'function ' || leaf, 'const ' || leaf, 'let ' || leaf, 'var ' || leaf, case when leaf <> name then leaf || '(' end, name, leaf] if p is not null], lambda i: i > 0)[1] as pos from l, n)
+      select file, name, cast(pos as bigint) as line_start, cast(case when pos is not null then least(lines, pos + 2) end as bigint) as line_end from c""",
     "traits_detect": SNIPPETS + " select p_partkey, array_to_string(list_sort(ts), ' ') as traits from t",
     "backfill_traits": SNIPPETS + " select array_to_string(list_sort(ts), ' ') as traits, count(*) as n from t where len(ts) > 0 group by 1",
     "tag_sanitizer": """with t as (select p_partkey, list_filter(regexp_split_to_array(p_name || ', ' || p_brand || ', ' || p_type || ', A B C', '[,\\s]+'), lambda t: t <> '')[1:8] as l from part),
@@ -281,7 +281,7 @@ ORACLES: dict[str, str] = {
     "regex_search": f"""with files as ({FILES}), l as (select file, generate_subscripts(ls, 1) as line, unnest(ls) as t from (select file, string_split(text, chr(10)) as ls from files))
       select file, line, unnest(regexp_extract_all(t, '{Q.PATTERN}')) as match from l""",
     "raw_occurrences": f"""with files as ({FILES}), l as (select file, ls, generate_subscripts(ls, 1) as line, unnest(ls) as t from (select file, string_split(text, chr(10)) as ls from files))
-      select file, line, md5(array_to_string(ls[greatest(line - 2, 1):line + 2], chr(10))) as context from l where contains(lower(t), '{Q.WORD}')""",
+      select file, line, md5(regexp_replace(array_to_string(ls[greatest(line - 2, 1):line + 2], chr(10)), '^\\s+|\\s+$', '', 'g')) as context from l where contains(lower(t), '{Q.WORD}')""",
     "stream_latest_meta": "select user_id as file, max(event_id) as mtime, count(*) as n from events group by user_id",
     "stream_tumbling_counts": "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
 }

@@ -100,7 +100,7 @@ def test_locator_prefers_definitions(spark):
     files = spark.createDataFrame([("a.py", text)], "file string, text string")
     names = spark.createDataFrame([("a.py", "foo"), ("a.py", "C.login"), ("a.py", "nothing")], "file string, name string")
     got = {r["name"]: (r["line_start"], r["line_end"]) for r in extract.locate(names, files).collect()}
-    assert got == {"foo": (3, 6), "C.login": (6, 6), "nothing": (None, None)}
+    assert got == {"foo": (3, 5), "C.login": (6, 6), "nothing": (None, None)}
 
 
 def test_template_calls_and_config(spark):
