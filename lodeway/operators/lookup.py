@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from lodeway.functions import constants as K
 from lodeway.functions import text as X
+from lodeway.operators import extract, regex, vectors
 
 
 def targets(relations: DataFrame) -> DataFrame:
@@ -44,6 +45,15 @@ def used_by(entities: DataFrame, relations: DataFrame, file: str, most: int = 5)
     return rows.select(F.col("key").alias("name"), "total", F.array_join(F.transform("first", lambda x: x["at"]), ",").alias("callers"))
 
 
+def explain(entities: DataFrame, relations: DataFrame, file: str, most: int = 5) -> DataFrame:
+    """``(part, name, kind, detail, n)``: what ``file`` defines (n: line), depends on, and who outside uses it (n: in all)."""
+    line, none = F.col("line_start").cast("long").alias("n"), F.lit(None).cast("long").alias("n")
+    defined = file_entities(entities, file).select(F.lit("defines").alias("part"), "name", F.col("type").alias("kind"), F.col("description").alias("detail"), line)
+    needed = file_deps(relations, file).select(F.lit("depends").alias("part"), F.col("to_name").alias("name"), F.col("relation").alias("kind"), F.col("from_name").alias("detail"), none)
+    asked = used_by(entities, relations, file, most).select(F.lit("used_by").alias("part"), "name", F.lit(None).cast("string").alias("kind"), F.col("callers").alias("detail"), F.col("total").alias("n"))
+    return defined.unionByName(needed).unionByName(asked)
+
+
 def affected_files(entities: DataFrame, relations: DataFrame, file: str) -> DataFrame:
     """Files to look at when ``file`` changes: those that refer to its names or import it, and itself."""
     names = entities.where(F.col("file") == file).select(F.col("name").alias("to_name")).distinct()
@@ -57,11 +67,14 @@ def affected_files(entities: DataFrame, relations: DataFrame, file: str) -> Data
     return near.union(by_leaf).union(imports).union(own).distinct()
 
 
-def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """``(metric, n)``: rows of the graph in all and by type."""
+def stats(entities: DataFrame, relations: DataFrame, meta: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """``(metric, n)``: rows of the graph in all and by type, and of its files and cached embeddings where given."""
     by = lambda df, col, head: df.groupBy(col).agg(F.count("*").alias("n")).select(F.concat(F.lit(head), F.col(col)).alias("metric"), "n")
     total = lambda df, head: df.agg(F.count("*").alias("n")).select(F.lit(head).alias("metric"), "n")
-    return total(entities, "entities").union(total(relations, "relations")).union(by(entities, "type", "type:")).union(by(relations, "relation", "relation:"))
+    rows = total(entities, "entities").union(total(relations, "relations")).union(by(entities, "type", "type:")).union(by(relations, "relation", "relation:"))
+    for df, name in ((meta, "files"), (cache, "embedding_cache")):
+        rows = rows.union(total(df, name)) if df is not None else rows
+    return rows
 
 
 def pending(disk: DataFrame, meta: DataFrame) -> DataFrame:
@@ -106,6 +119,50 @@ def search_entity(entities: DataFrame, query: str, kind: str | None = None, limi
     return rows.orderBy(*first, F.desc("hits"), "rank", "name", "file", "type").limit(limit).drop("rank")
 
 
+def find_entity(
+    entities: DataFrame, query: str, kind: str | None = None, limit: int = 10, embeddings: DataFrame | None = None, encode=None, files: DataFrame | None = None,
+) -> DataFrame:
+    """``(file, name, type, description, line_start, found)``: entities by name, then by meaning, then places in the texts.
+
+    With ``embeddings`` (name, embedding) and ``encode`` (query -> vector), the
+    best 3 ``limit`` by name are ordered anew: names of the ``limit`` nearest
+    vectors with a score over 0.3 first, then by name. Where no name fits and no
+    ``kind`` is asked for, the names of nearest vectors over 0.1 are looked up
+    instead, and where that gives nothing, lines of ``files`` (file, text) with
+    the query are listed as symbols. ``found`` is name, vector or text.
+    """
+    def by_name(text: str, near: list, found: str) -> DataFrame:
+        rows = search_entity(entities, text, kind, 3 * limit if embeddings is not None else limit)
+        if embeddings is not None:
+            first = [F.col("name").isin(near).desc()] if near else []
+            rows = rows.orderBy(*first, "name", "file", "type").limit(limit)
+        return rows.select("file", "name", "type", "description", F.col("line_start").cast("long").alias("line_start"), F.lit(found).alias("found"))
+
+    near = []
+    if embeddings is not None and query.strip():
+        near = [(r["name"], r["score"]) for r in vectors.nearest(embeddings, encode(query), limit, "name").collect()]
+    rows = by_name(query, [n for n, s in near if s > 0.3], "name")
+    if kind or not rows.isEmpty():
+        return rows
+    close = [n for n, s in near if s > 0.1]
+    if close:
+        rows = by_name(" ".join(close), close, "vector")
+        if not rows.isEmpty():
+            return rows
+    if files is None or not query.strip():
+        return rows
+    hits = regex.raw_occurrences(files, query.strip(), limit=limit)
+    said = F.lit("Raw text match, no entity of the graph").alias("description")
+    return hits.select("file", F.lit(query.strip()).alias("name"), F.lit("symbol").alias("type"), said, F.col("line").cast("long").alias("line_start"), F.lit("text").alias("found"))
+
+
+def with_places(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` (file, name, line_start ...) with ``line_end`` and ``snippet``; those of no known line are located in ``files``."""
+    at = extract.locate(rows, files.join(rows.select("file").distinct(), "file", "left_semi"))
+    at = at.select("file", "name", F.col("line_start").cast("long").alias("found_at"), F.col("line_end").cast("long").alias("line_end"), "snippet")
+    return rows.join(at, ["file", "name"], "left").withColumn("line_start", F.coalesce("line_start", "found_at")).drop("found_at")
+
+
 def schema(spark) -> DataFrame:
     """``(kind, name, value)``: entity types, aliases and relation types."""
     rows = [("entity_type", t, t) for t in K.ENTITY_TYPES] + [("alias", a, t) for a, t in K.TYPE_ALIASES.items()] + [("relation_type", r, r) for r in K.RELATION_TYPES]

@@ -128,6 +128,28 @@ def find_similar(vectors: DataFrame, entities: DataFrame, anchor: int, limit: in
     return rows.orderBy(F.desc("score"), "vec_id").limit(limit)
 
 
+def similar_to(embeddings: DataFrame, entities: DataFrame, name: str, limit: int = 10, least: float = 0.4, types: list[str] | None = None) -> DataFrame:
+    """``(file, name, type, score)``: entities nearest in meaning to that called ``name``.
+
+    ``entities`` are (vec_id, file, name, type, description, line_start). Of
+    rows alike in name, the anchor and each result is the one of a wanted type,
+    else an extracted one, else one of known line; a name has the score of its
+    nearest row.
+    """
+    kinds = list(types or K.CLONE_TYPES)
+    said = F.coalesce("description", F.lit(""))
+    rank = (~F.col("type").isin(kinds), ~F.startswith(said, F.lit("Extracted from")), F.col("line_start").isNull(), "file", "line_start", "vec_id")
+    best = F.min_by(F.struct("vec_id", "file", "type"), F.struct(*(F.col(c) if isinstance(c, str) else c.alias(f"r{i}") for i, c in enumerate(rank))))
+    anchor = entities.where(F.col("name") == name).orderBy(*rank).limit(1).join(embeddings, "vec_id").select("embedding").collect()
+    if not anchor:
+        return entities.select("file", "name", "type", F.lit(0.0).alias("score")).limit(0)
+    near = nearest(embeddings, anchor[0]["embedding"], max(8 * limit, 80)).where(F.col("score") >= least)
+    names = near.join(entities.select("vec_id", "name"), "vec_id").where(F.col("name") != name).groupBy("name").agg(F.max("score").alias("score"))
+    rows = entities.join(F.broadcast(names), "name").groupBy("name", "score").agg(best.alias("row"))  # 80 or 8 ``limit`` names at most
+    rows = rows.select("row.file", "name", "row.type", "score").where(F.col("type").isin(kinds))
+    return rows.orderBy(F.desc("score"), "name").limit(limit)
+
+
 def cache_key(text, model: str):
     return F.substring(F.sha2(F.concat(F.lit(model + "\n"), text), 256), 1, 32)
 

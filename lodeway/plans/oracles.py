@@ -124,6 +124,10 @@ def windows(size: int, stride: int, least: int = 60, whole: int = 10) -> str:
 HTML = "with p as (select 'p' || cast(page_id as varchar) || '.html' as file, html as text from pages)"
 LITERALS = X.query_literals(Q.LITERAL_QUERY)
 HYBRID_TEXT = Q.TEXT_QUERY + " re-eaux"
+PLACED_ONLY = """placed as (select vec_id, 'v/f' || cast(vec_id % 50 as varchar) || '.py' as file, 'E' || cast(vec_id % 97 as varchar) as name, case label % 3 when 0 then 'class' when 1 then 'function' else 'variable' end as type,
+  case when vec_id % 2 = 0 then 'Extracted from a file' else 'Referenced' end as description, case when vec_id % 5 <> 0 then cast(vec_id as bigint) end as line_start from embeddings)"""
+PLACED = "with " + PLACED_ONLY
+NAMED = f"near as (select 'Customer' || cast(e.vec_id as varchar) as name, {DOT.format(a='e.embedding', b='q.embedding')} as score from embeddings e, (select embedding from embeddings where vec_id = 0) q order by 2 desc, 1 limit 10)"
 SNIPPETS = """with s as (select p_partkey, p_partkey % 8 as k, p_partkey % 9 as e, p_partkey % 2 = 0 as fn from part),
  l as (select *, case e when 0 then 'python' when 1 then 'ts' when 2 then 'ts' when 3 then 'rust' when 4 then 'go' when 5 then 'java' when 6 then 'go' when 7 then 'c' else '' end as lang from s),
  t as (select p_partkey, list_filter([
@@ -181,6 +185,10 @@ ORACLES: dict[str, str] = {
     "get_callers": f"{KG} select file, from_name as caller from ({USAGES}) where relation = 'calls'",
     "file_deps": f"{KG} select relation, from_name, to_name from relations where file = '{Q.FILE}' and relation in ('imports', 'inherits', 'uses')",
     "file_entities": f"{KG} select name, type, description, line_start from entities where file = '{Q.FILE}'",
+    "find_similar_named": f"""{PLACED}, ranked as (select vec_id, file, name, type, row_number() over (partition by name order by type not in ({quoted(K.CLONE_TYPES)}), not starts_with(description, 'Extracted from'), line_start is null, file, line_start nulls first, vec_id) as r from placed),
+      near as (select e.vec_id, {DOT.format(a='e.embedding', b='q.embedding')} as score from embeddings e, (select embedding from embeddings join ranked using (vec_id) where name = 'E5' and r = 1) q order by 2 desc, 1 limit 80),
+      names as (select name, max(score) as score from near join placed using (vec_id) where score >= 0.1 and name <> 'E5' group by name)
+      select file, name, type, round(score, 6) as score from ranked join names using (name) where r = 1 and type in ({quoted(K.CLONE_TYPES)}) order by names.score desc, name limit 10""",
     "explain_file": f"""{KG}, d as (select distinct name from entities where file = '{Q.FILE}' and type in ({quoted(K.EXPLAIN_TYPES)})),
       t as (select *, row_number() over (partition by key order by file, from_name, relation, to_name) as r from (select file, from_name, relation, to_name, unnest(list_distinct([to_name, {LEAF}])) as key from relations where file <> '{Q.FILE}') where key in (select name from d))
       select key as name, count(*) as total, string_agg(file || ':' || from_name, ',' order by r) filter (where r <= 5) as callers from t group by key""",
@@ -189,7 +197,16 @@ ORACLES: dict[str, str] = {
       union all select file from relations where relation in ({quoted(['imports', *K.REFERENCES])}) and contains(to_name, '.') and {LEAF} in (select name from n)
       union all select file from relations where relation = 'imports' and to_name in ('svc/supply/n7.ts', 'svc/supply/n7', './svc/supply/n7', './n7', 'svc.supply.n7', 'supply.n7', 'n7')
       union all select 'svc/supply/n7.ts')""",
-    "graph_stats": f"{KG} select 'entities' as metric, count(*) as n from entities union all select 'relations', count(*) from relations union all select 'type:' || type, count(*) from entities group by type union all select 'relation:' || relation, count(*) from relations group by relation",
+    "graph_stats": f"{KG} select 'entities' as metric, count(*) as n from entities union all select 'relations', count(*) from relations union all select 'type:' || type, count(*) from entities group by type union all select 'relation:' || relation, count(*) from relations group by relation "
+    f"union all select 'files', count(*) from ({META}) m union all select 'embedding_cache', count(distinct text) from documents",
+    "list_entities": f"{KG} select file, name, type from entities where type = 'function' order by file, line_start nulls last, name limit 25",
+    "find_entity_by_name": f"""{KG}, {NAMED}, found as (select *, cast(contains(lower(name), 'customer') as int) as hits from entities where contains(lower(name), 'customer')
+      order by hits desc, case when lower(name) = 'customer 7' then 0 when starts_with(lower(name), 'customer 7') then 1 else 2 end, name, file, type limit 30)
+      select file, name, type, description, line_start, 'name' as found from found order by name not in (select name from near where score > 0.3), name, file, type limit 10""",
+    "find_entity_by_meaning": f"""{KG}, {NAMED}, close_ as (select * from near where score > 0.1), found as (select e.file, e.name, e.type, e.description, e.line_start, count(*) as hits from entities e join close_ c on contains(lower(e.name), lower(c.name)) group by all
+      order by hits desc, e.name, e.file, e.type limit 30) select file, name, type, description, line_start, 'vector' as found from found order by name not in (select name from close_), name, file, type limit 10""",
+    "find_entity_in_texts": f"""with files as ({FILES}) select file, '{Q.ABSENT}' as name, 'symbol' as type, 'Raw text match, no entity of the graph' as description, line as line_start, 'text' as found
+      from (select file, generate_subscripts(ls, 1) as line, unnest(ls) as t from (select file, string_split(text, chr(10)) as ls from files)) where contains(lower(t), '{Q.ABSENT}') order by file, line limit 10""",
     "search_entity_tokens": f"""{KG} select file, name, type, hits from (select *, cast(contains(lower(name), 'red_bolt') as bigint) + cast(contains(lower(name), 'red') as bigint) + cast(contains(lower(name), 'bolt') as bigint) as hits from entities)
       where hits >= 1 order by hits desc, case when lower(name) = 'red_bolt' then 0 when starts_with(lower(name), 'red_bolt') then 1 else 2 end, name, file, type limit 15""",
     "pending_files": f"""with disk as ({DISK}), meta as ({META}) select file, status from (select file, case when d.mtime is null then 'missing' when m.mtime is null then 'unindexed' when d.mtime <> m.mtime then 'stale' when not incoming_done then 'needs_incoming' end as status
@@ -219,6 +236,11 @@ ORACLES: dict[str, str] = {
     "test_coverage_uncovered": f"{KG}, {COVER} select file, name, type from production where not covered order by file, name, type limit 50",
     "test_coverage_entity": f"{KG}, {COVER} select distinct file, from_name from keys where name = 'Customer7'",
     "clone_pairs": f"with {CLONES} select a, b, round(score, 5) as score, round(overlap, 5) as overlap from clones",
+    "find_clones": f"""with recursive {PLACED_ONLY}, {CLONES.replace('r <= 20', 'r <= 19').replace('clones as (', 'untyped as (', 1)}, clones as (select u.* from untyped u join placed x on a = x.vec_id join placed y on b = y.vec_id where x.type <> 'variable' and y.type <> 'variable'),
+      e as (select a, b from clones union select b, a from clones), walk(id, root) as (select distinct a, a from e union select e.b, root from walk join e on e.a = id), c as (select id, min(root) as component from walk group by id),
+      s as (select component, round(avg(score), 4) as s, round(avg(overlap), 4) as o, count(*) as n from clones join c on a = id group by component),
+      m as (select component, string_agg(concat_ws(':', file, cast(coalesce(line_start, 0) as varchar), name, type), ',' order by file, coalesce(line_start, 0), name, type) as members from c join placed on id = vec_id group by component)
+      select round(s, 3) as avg_score, round(o, 3) as avg_overlap, n as n_pairs, members from s join m using (component) order by s.s desc, s.o desc, component limit 50""",
     "clone_clusters": f"""with recursive {CLONES}, e as (select a, b from clones union select b, a from clones), walk(id, root) as (select distinct a, a from e union select e.b, root from walk join e on e.a = id),
       c as (select id, min(root) as component from walk group by id), s as (select component, avg(score) as s, avg(overlap) as o, count(*) as n from clones join c on a = id group by component)
       select c.component, string_agg(cast(id as varchar), ',' order by id) as members, round(round(any_value(s), 4), 3) as avg_score, round(round(any_value(o), 4), 3) as avg_overlap, any_value(n) as n_pairs from c join s on c.component = s.component group by c.component""",
@@ -289,3 +311,22 @@ ORACLES["mark_stale_cascade"] = (
     ORACLES["affected_files"].replace("select distinct file from (select file from relations", ", hit as (select distinct file from (select file from relations", 1)
     + ") select file, cast(case when file in (select file from hit) then 0 else length(file) end as bigint) as mtime, file in (select file from hit) as marked from (select distinct file from entities)"
 )
+STYLES = ORACLES["stylesheet_selectors"]
+CONFIGS = "select 'e' || cast(event_id as varchar) || '.json' as file, unnest(json_keys(props)) as name from events"
+ORACLES["structured_entities"] = f"""select file, name, type from ({ORACLES["template_tags"]}) a union select file, name, 'selector' from ({ORACLES["template_selectors"]}) b
+  union select file, name, type from ({STYLES}) c union select file, name, 'variable' from ({CONFIGS}) d"""
+ORACLES["structured_relations"] = f"""select file, relation, count(*) as n, max(name) as last from (select file, relation, name from ({STYLES}) c
+  union select file, 'defines', name from ({CONFIGS}) d) group by file, relation"""
+ORACLES["explain_file_full"] = f"""select 'defines' as part, name, type as kind, description as detail, line_start as n from ({ORACLES["file_entities"]}) a
+  union all select 'depends', to_name, relation, from_name, null from ({ORACLES["file_deps"]}) b union all select 'used_by', name, null, callers, total from ({ORACLES["explain_file"]}) c"""
+WORDS = quoted([f"{w} {n}" for n in ("pkg.the", "the") for w in "def class function const let var".split()] + ["the(", "pkg.the", "the"])
+ORACLES["entity_places"] = f"""with files as ({FILES}), l as (select file, string_split(text, chr(10)) as l from files),
+  c as (select file, l, list_filter([list_position(list_transform(l, lambda x: contains(x, p)), true) for p in [{WORDS}]], lambda i: i > 0)[1] as spot from l)
+  select file, 'pkg.the' as name, case when file like '%.en' then 3 else spot end as line_start, cast(case when spot is not null then least(len(l), spot + 2) end as bigint) as line_end,
+  md5(case when spot is not null then regexp_replace(array_to_string(l[greatest(spot - 2, 1):least(len(l), spot + 2)], chr(10)), '^\\s+|\\s+$', '', 'g') end) as snippet from c"""
+ORACLES["entity_blocks"] = f"""{KG} select name, '  • [' || type || '] ' || name || ': ' || description || '  (' || file || case when line_start is null then '' when line_start % 2 = 0 then ':' || cast(line_start as varchar) || '-' || cast(line_start + 3 as varchar) else ':' || cast(line_start as varchar) end || ')'
+  || case when line_start % 3 = 0 then chr(10) || '      def ' || name || chr(10) || '        pass' else '' end as block from entities where file = '{Q.FILE}'"""
+LINES = f"{KG}, l as (select from_name, relation, string_agg(to_name, ', ' order by to_name) as names from relations where file = '{Q.FILE}' group by 1, 2)"
+ORACLES["relation_lines"] = f"{LINES} select from_name, relation, '    ' || relation || ': ' || names as line from l"
+ORACLES["relation_section"] = f"{LINES} select 'Imports:' || coalesce(chr(10) || string_agg(relation || ': ' || names, chr(10) order by from_name), '') as section from l where relation = 'imports'"
+ORACLES["scored_notes"] = "select conv_id, turn, '  [' || role || '] score=' || format('{:.2f}', length(role) / 7) || ' ' || substr(text, 1, 120) as line from conversations"

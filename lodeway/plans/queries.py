@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 #: Arguments that queries and their SQL share.
 TEXT_QUERY, LITERAL_QUERY = "and the thorea antion der eaux", "nation re-eaux hehe_st userName"
 FILE, NAME, START, HUB_NAME = "app/crm/building/n3.py", "supply_7", "supply_9", "red_widget"
-PATTERN, WORD = r"(?:the|and) [a-z]{3,9}ing", "eder"
+PATTERN, WORD, ABSENT = r"(?:the|and) [a-z]{3,9}ing", "eder", "thorea"
 
 
 def query(f: Query) -> Query:
@@ -137,6 +137,14 @@ def _vec_entities(spark, d):
     return v.select("vec_id", name.alias("name"), kind.alias("type"))
 
 
+def _placed_vectors(spark, d):
+    """An entity for each vector, of which some hundred share a name."""
+    said = F.when(F.col("vec_id") % 2 == 0, "Extracted from a file").otherwise("Referenced")
+    place = F.concat(F.lit("v/f"), F.col("vec_id") % 50, F.lit(".py"))
+    line = F.when(F.col("vec_id") % 5 != 0, F.col("vec_id")).cast("long")
+    return _vec_entities(spark, d).select("vec_id", place.alias("file"), "name", "type", said.alias("description"), line.alias("line_start"))
+
+
 @query
 def find_similar(spark, d):
     rows = vectors.find_similar(read(spark, d, "embeddings"), _vec_entities(spark, d), 5, limit=10, least=0.1, types=["class", "function"])
@@ -159,6 +167,13 @@ def embed_documents(spark, d):
     return rows.select("doc_id", "hash", F.round(vectors.similarity(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
+@query
+def find_similar_named(spark, d):
+    v = read(spark, d, "embeddings")
+    rows = vectors.similar_to(v, _placed_vectors(spark, d), "E5", limit=10, least=0.1)
+    return rows.select("file", "name", "type", F.round("score", 6).alias("score"))
+
+
 # lookups
 
 
@@ -187,6 +202,11 @@ def explain_file(spark, d):
     return lookup.used_by(*graph(spark, d), FILE)
 
 
+@query
+def explain_file_full(spark, d):
+    return lookup.explain(*graph(spark, d), FILE)
+
+
 @query
 def affected_files(spark, d):
     return lookup.affected_files(*graph(spark, d), "svc/supply/n7.ts")
@@ -194,7 +214,8 @@ def affected_files(spark, d):
 
 @query
 def graph_stats(spark, d):
-    return lookup.stats(*graph(spark, d))
+    cache = read(spark, d, "documents").select(vectors.cache_key(F.col("text"), "m").alias("hash")).distinct()
+    return lookup.stats(*graph(spark, d), view(spark, d, "file_meta"), cache)
 
 
 @query
@@ -202,6 +223,44 @@ def search_entity_tokens(spark, d):
     return lookup.search_entity(graph(spark, d)[0], "red_bolt", limit=15).select("file", "name", "type", F.col("hits").cast("long").alias("hits"))
 
 
+def _named_vectors(spark, d):
+    v, q = _dense(spark, d)
+    return v.select(F.concat(F.lit("Customer"), F.col("chunk_id")).alias("name"), "embedding"), lambda text: q
+
+
+@query
+def list_entities(spark, d):
+    return lookup.search_entity(graph(spark, d)[0], "", kind="function", limit=25).select("file", "name", "type")
+
+
+@query
+def find_entity_by_name(spark, d):
+    """Names of a token, those of near vectors first."""
+    v, encode = _named_vectors(spark, d)
+    return lookup.find_entity(graph(spark, d)[0], "Customer 7", embeddings=v, encode=encode)
+
+
+@query
+def find_entity_by_meaning(spark, d):
+    """No name fits, but those of near vectors do."""
+    v, encode = _named_vectors(spark, d)
+    return lookup.find_entity(graph(spark, d)[0], "qqzz", embeddings=v, encode=encode)
+
+
+@query
+def find_entity_in_texts(spark, d):
+    """Neither a name nor a vector fits, but lines of files do."""
+    return lookup.find_entity(graph(spark, d)[0], ABSENT, files=view(spark, d, "files"))
+
+
+@query
+def entity_places(spark, d):
+    files = view(spark, d, "files")
+    names = files.select("file", F.lit("pkg.the").alias("name"), F.when(F.endswith("file", F.lit(".en")), F.lit(3)).cast("long").alias("line_start"))
+    rows = lookup.with_places(names, files)
+    return rows.select("file", "name", "line_start", "line_end", F.md5("snippet").alias("snippet"))
+
+
 @query
 def pending_files(spark, d):
     return lookup.pending(view(spark, d, "disk"), view(spark, d, "file_meta"))
@@ -333,6 +392,17 @@ def clone_clusters(spark, d):
     return rows.select("component", "members", F.round("avg_score", 3).alias("avg_score"), F.round("avg_overlap", 3).alias("avg_overlap"), "n_pairs")
 
 
+@query
+def find_clones(spark, d):
+    """Typed definitions alike in vectors and in the signs of their first components, as ranked clusters."""
+    v, entities = read(spark, d, "embeddings"), _placed_vectors(spark, d)
+    signs = F.transform(F.slice("embedding", 1, 8), lambda x, i: F.concat(i.cast("string"), F.when(x > 0, "+").otherwise("-")))
+    relations = entities.join(v.select("vec_id", F.explode(signs).alias("to_name")), "vec_id").select("file", F.col("name").alias("from_name"), F.lit("calls").alias("relation"), "to_name")
+    rows = analytics.find_clones(entities, relations, v, least=0.3, overlap=0.3)
+    member = F.transform("members", lambda m: F.concat_ws(":", m["file"], m["line_start"].cast("string"), m["name"], m["type"]))
+    return rows.select(F.round("avg_score", 3).alias("avg_score"), F.round("avg_overlap", 3).alias("avg_overlap"), "n_pairs", F.array_join(member, ",").alias("members"))
+
+
 @query
 def exact_clones(spark, d):
     rows = read(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
@@ -389,6 +459,29 @@ def stylesheet_selectors(spark, d):
     return rows.select("file", "name", "type", "relation")
 
 
+def _css_files(spark, d):
+    text = F.concat(F.lit(".n"), F.col("n_nationkey"), F.lit(" { --w-"), F.col("n_regionkey"), F.lit(": 1px; } @import 'base.css';"))
+    return read(spark, d, "nation").select(F.concat(F.col("n_name"), F.lit(".css")).alias("file"), text.alias("text"))
+
+
+def _structured_files(spark, d):
+    props = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id"), F.lit(".json")).alias("file"), F.col("props").alias("text"))
+    code = view(spark, d, "files")
+    return page_files(spark, d).unionByName(_css_files(spark, d)).unionByName(props).unionByName(code)
+
+
+@query
+def structured_entities(spark, d):
+    """What rules find in pages, stylesheets and configurations; other files are not for them."""
+    return extract.structured(_structured_files(spark, d))[0]
+
+
+@query
+def structured_relations(spark, d):
+    rows = extract.structured(_structured_files(spark, d).where(~F.endswith("file", F.lit(".html"))))[1]
+    return rows.groupBy("file", "relation").agg(F.count("*").alias("n"), F.max("to_name").alias("last"))
+
+
 @query
 def config_keys(spark, d):
     rows = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id"), F.lit(".json")).alias("file"), F.col("props").alias("text"))
@@ -650,6 +743,30 @@ def memory_listing(spark, d):
     return render.memory_listing(read(spark, d, "conversations"))
 
 
+@query
+def entity_blocks(spark, d):
+    """Entities as text blocks."""
+    rows = graph(spark, d)[0].where(F.col("file") == FILE)
+    rows = rows.withColumn("line_end", F.when(F.col("line_start") % 2 == 0, F.col("line_start") + 3).otherwise(F.col("line_start")))
+    return render.entity_results(rows.withColumn("snippet", F.when(F.col("line_start") % 3 == 0, F.concat(F.lit("def "), F.col("name"), F.lit("\r\n  pass"))))).select("name", "block")
+
+
+@query
+def relation_lines(spark, d):
+    return render.relation_lines(graph(spark, d)[1].where(F.col("file") == FILE)).select("from_name", "relation", "line")
+
+
+@query
+def relation_section(spark, d):
+    rows = render.relation_lines(graph(spark, d)[1].where((F.col("file") == FILE) & (F.col("relation") == "imports")), "")
+    return render.section(rows, "Imports", "line", "from_name")
+
+
+@query
+def scored_notes(spark, d):
+    return render.scored_notes(read(spark, d, "conversations").withColumn("score", F.length("role") / 7))
+
+
 @query
 def stream_latest_meta(spark, d):
     return watch.latest_meta(spark, f"{d}/events.parquet").select("file", "mtime", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tomllib
@@ -104,6 +105,27 @@ def indexable_content(files: DataFrame, config: ProjectConfig | None = None) ->
     return files.where((F.octet_length("text") <= most) & (F.length(F.trim("text")) >= K.MIN_CHARS))
 
 
+def reply_payload(reply: str) -> dict:
+    """The JSON object in a model's reply, inside a code fence or not; comments and trailing commas may be in it. Else an empty one."""
+    fenced = re.search(r"```[a-zA-Z0-9]*\s*\n(.*?)```", reply or "", re.S)
+    body = (fenced.group(1) if fenced else reply or "").strip()
+    outside = r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/'
+    plain = re.sub(outside, lambda m: m.group(1) or "", body, flags=re.S)
+    plain = re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m.group(1) or "", plain, flags=re.S)
+    for text in (body, plain):
+        try:
+            got = json.loads(text)
+        except ValueError:
+            continue
+        return got if isinstance(got, dict) else {}
+    return {}
+
+
+def prompted(complete: Callable[[str, str], str], most_chars: int = 100_000) -> Callable[[str, str], dict]:
+    """An extractor that asks ``complete`` (file, code -> reply), which sees ``most_chars`` of a file."""
+    return lambda file, text: reply_payload(complete(file, text[:most_chars]))
+
+
 PAYLOAD = "file string, entities array<struct<name:string,type:string,description:string,tags:string>>, relations array<struct<from_name:string,relation:string,to_name:string>>"
 
 

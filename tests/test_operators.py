@@ -103,6 +103,54 @@ def test_locator_prefers_definitions(spark):
     assert got == {"foo": (3, 5), "C.login": (6, 6), "nothing": (None, None)}
 
 
+def test_all_line_ends_count(spark):
+    files = spark.createDataFrame([("a.py", "x\r\ny\rdef foo():\n"), ("b.py", "")], "file string, text string")
+    names = spark.createDataFrame([("a.py", "foo"), ("b.py", "foo"), ("a.py", "y.")], "file string, name string")
+    got = {(r["file"], r["name"]): (r["line_start"], r["line_end"], r["snippet"]) for r in extract.locate(names, files).collect()}
+    assert got == {("a.py", "foo"): (3, 3, "x\ny\ndef foo():"), ("b.py", "foo"): (None, None, None), ("a.py", "y."): (None, None, None)}
+    assert collected(regex.raw_occurrences(files, "FOO")) == [("a.py", 3, "x\ny\ndef foo():")]
+    assert collected(extract.fixed_chunks(files, 2)) == [("a.py", 1, "x\ny"), ("a.py", 3, "def foo():")]
+
+
+def test_structured_files_go_to_their_rules(spark):
+    files = spark.createDataFrame(
+        [("a.scss", ".a { color: red } @import 'b.css';"), ("c.json", "{/* c */ 'k': 1, b: [1,],}"), ("d.html", '<x-y class="u v" [v]="go()"></x-y>'), ("e.py", "k = 1")], "file string, text string",
+    )
+    entities, relations = extract.structured(files)
+    assert collected(entities) == [
+        ("a.scss", ".a", "selector"), ("a.scss", "b.css", "import"), ("c.json", "b", "variable"), ("c.json", "k", "variable"), ("d.html", ".u", "selector"), ("d.html", ".v", "selector"), ("d.html", "x-y", "component"),
+    ]
+    assert ("d.html", "d.html", "calls", "go") in collected(relations) and ("a.scss", "a.scss", "imports", "b.css") in collected(relations)
+    assert not any(r["file"] == "e.py" for r in relations.collect())
+
+
+def test_replies_of_models_are_read_leniently():
+    assert sources.reply_payload('Here:\n```json\n{"entities": [{"name": "a//b", "type": "x,]"},], // all\n}\n```') == {"entities": [{"name": "a//b", "type": "x,]"}]}
+    assert sources.reply_payload("[1]") == sources.reply_payload("sorry") == sources.reply_payload("") == {}
+    assert sources.prompted(lambda file, code: f'{{"entities": [{{"name": "{code}"}}]}}', 3)("f", "abcdef") == {"entities": [{"name": "abc"}]}
+
+
+def test_find_entity_falls_back(spark):
+    ents = ent(spark, [("f", "loadUser", "function", 1), ("g", "saveUser", "function", 2), ("h", "Cart", "class", 3)])
+    vecs = spark.createDataFrame([("loadUser", [0.2, 0.0]), ("saveUser", [0.9, 0.0]), ("Cart", [0.0, 1.0])], "name string, embedding array<double>")
+    files = spark.createDataFrame([("t.md", "one\nzzz here")], "file string, text string")
+    ask = lambda q, **kw: [(r["name"], r["found"]) for r in lookup.find_entity(ents, q, embeddings=vecs, encode=lambda q: [1.0, 0.0], files=files, **kw).collect()]
+    assert ask("user") == [("saveUser", "name"), ("loadUser", "name")]
+    assert ask("zzz") == [("loadUser", "vector"), ("saveUser", "vector")]
+    assert ask("zzz", kind="class") == [] and [n for n, _ in ask("")] == ["Cart", "loadUser", "saveUser"]
+    assert [tuple(r)[:5] for r in lookup.find_entity(ents, "zzz", files=files).collect()] == [("t.md", "zzz", "symbol", "Raw text match, no entity of the graph", 2)]
+    assert lookup.find_entity(ents, "nowhere", files=files).count() == 0
+
+
+def test_clones_leave_out_rows_of_one_name(spark):
+    rows = spark.createDataFrame([(1, "a", "f", "function", 1), (2, "b", "g", "function", 2), (3, "a", "f", "method", 3), (4, "c", "h", "variable", 4)], "vec_id long, file string, name string, type string, line_start long")
+    vecs = spark.createDataFrame([(i, [1.0, 0.0]) for i in (1, 2, 3, 4)], "vec_id long, embedding array<double>")
+    rels = rel(spark, [(f, n, "calls", "x") for f, n in (("a", "f"), ("b", "g"), ("c", "h"))])
+    (got,) = analytics.find_clones(rows, rels, vecs).collect()
+    assert [m["name"] for m in got["members"]] == ["f", "f", "g"] and got["n_pairs"] == 2
+    assert analytics.find_clones(rows, rels.limit(0), vecs).count() == 0
+
+
 def test_template_calls_and_config(spark):
     files = spark.createDataFrame([("a.html", '<x-y (click)="count()" [v]="index"></x-y>@if (ready) { {{ u.name() }}')], "file string, text string")
     assert {(r["relation"], r["name"]) for r in extract.template_references(files).collect()} == {("calls", "count"), ("calls", "name"), ("uses", "u"), ("uses", "ready")}

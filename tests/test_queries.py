@@ -16,7 +16,8 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = (
     "chunk_windows bm25_topk literal_idf hybrid_search knn_per_entity find_usages explain_file affected_files pending_files build_status "
     "filter_by_trait_any subgraph_nodes dead_code test_coverage_summary clone_clusters module_edges file_entity_summary template_tags "
-    "snippet_locator traits_detect tag_sanitizer upsert_entities regex_search stream_latest_meta stream_tumbling_counts file_kinds"
+    "snippet_locator traits_detect tag_sanitizer upsert_entities regex_search stream_latest_meta stream_tumbling_counts file_kinds "
+    "find_similar_named find_entity_by_name find_entity_by_meaning entity_places find_clones structured_entities"
 ).split()
 
 
