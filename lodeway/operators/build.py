@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lodeway.functions import constants as K
 from lodeway.functions import text as X
-from lodeway.operators import lookup, sanitize, store
+from lodeway.operators import extract, lookup, sanitize, store
 from lodeway.operators.store import Graph
 from lodeway.sources import files as sources
 from lodeway.sources.scratch import children, delete, exists, saver
 
-ENTITIES = "file string, name string, type string, description string, line_start long, traits string"
+ENTITIES = "file string, name string, type string, description string, line_start long, line_end long, snippet string, traits string"
 RELATIONS = "file string, from_name string, relation string, to_name string"
 META = "file string, mtime long, incoming_done boolean"
 
@@ -23,14 +23,16 @@ def empty(spark: SparkSession) -> Graph:
     return Graph(*(spark.createDataFrame([], s) for s in (ENTITIES, RELATIONS, META)))
 
 
-def brought_up_to_date(graph: Graph, files: DataFrame, extractor: Callable[[str, str], dict], force: bool = False, most: int | None = None) -> tuple[Graph, DataFrame]:
+def brought_up_to_date(graph: Graph, files: DataFrame, extractor: Callable[[str, str], dict], force: bool = False, most: int | None = None, rules: bool = False) -> tuple[Graph, DataFrame]:
     """The graph after indexing ``files`` (file, mtime, length, text), and one row of counts.
 
     Rows of files that are gone go. Files without or with another mtime in the
     graph's meta are read, all of them with ``force``, the first ``most`` by
     name. Secret, large and nearly empty ones are marked as seen and never
     shown to the extractor; a file of which it tells nothing stays unindexed,
-    for a later try.
+    for a later try. Entities are located in their files, and their traits read
+    from the lines around. With ``rules``, stylesheets, configurations and
+    templates go to ``extract.structured`` instead of the extractor.
     """
     save = saver(files.sparkSession)
     known = graph.meta.select("file").distinct()
@@ -41,14 +43,22 @@ def brought_up_to_date(graph: Graph, files: DataFrame, extractor: Callable[[str,
     rows = files.join(work, "file", "left_semi")
     text = F.coalesce("text", F.lit(""))
     quiet = X.is_secret(F.col("file")) | (F.col("length") > K.MAX_FILE_BYTES) | (F.length(F.trim(text)) < K.MIN_CHARS)
-    told = save(sources.extract_with(rows.where(~quiet), extractor))
+    asked = rows.where(~quiet)
+    by_rule = extract.strategy(F.col("file")) != "model" if rules else F.lit(False)
+    told = save(sources.extract_with(asked.where(~by_rule), extractor))
     flat = told.select("file", F.inline("entities")).select("file", "name", "type", "description", "tags")
-    entities = sanitize.entities(flat)
-    detected = X.traits(F.col("name"), F.lit(""), F.col("file"), F.col("type"))
-    entities = entities.select("file", "name", "type", "description", F.lit(None).cast("long").alias("line_start"), X.united_traits(detected, F.col("tags")).alias("traits"))
-    entities = save(entities.dropDuplicates(store.KEY))
     relations = told.select("file", F.inline("relations")).select("file", "from_name", "relation", "to_name")
     found = told.where((F.size("entities") > 0) | (F.size("relations") > 0)).select("file")
+    if rules:
+        named, links = map(save, extract.structured(asked.where(by_rule)))
+        none = F.lit(None).cast("string")
+        flat = flat.unionByName(named.select("file", "name", "type", none.alias("description"), none.alias("tags")))
+        relations, found = relations.unionByName(links), found.union(named.select("file")).union(links.select("file")).distinct()
+    entities = save(sanitize.entities(flat).withColumn("line_start", F.lit(None).cast("long")))
+    entities = lookup.with_places(entities, asked.select("file", "text"))
+    detected = X.traits(F.col("name"), F.col("snippet"), F.col("file"), F.col("type"))
+    traits = X.united_traits(detected, F.col("tags")).alias("traits")
+    entities = save(entities.select("file", "name", "type", "description", "line_start", "line_end", F.coalesce("snippet", F.lit("")).alias("snippet"), traits))
     wiped = now.without(rows.where(~quiet).select("file"))
     merged, edges, _ = store._stored(wiped, entities, relations, found)
     seen = rows.where(quiet).select("file", "mtime").unionByName(rows.join(found, "file", "left_semi").select("file", "mtime"))
@@ -86,18 +96,18 @@ class GraphStore:
             delete(self.spark, old)
         return self.read()
 
-    def build(self, root: str, extractor: Callable[[str, str], dict], config=None, force: bool = False, most: int | None = None) -> dict:
+    def build(self, root: str, extractor: Callable[[str, str], dict], config=None, force: bool = False, most: int | None = None, rules: bool = False) -> dict:
         """Scan ``root`` and index what changed; the counts."""
         files = saver(self.spark)(sources.scan(self.spark, root, config, secrets=True))
-        graph, counts = brought_up_to_date(self.read(), files, extractor, force, most)
+        graph, counts = brought_up_to_date(self.read(), files, extractor, force, most, rules)
         self.write(graph)
         return counts.first().asDict()
 
-    def index_file(self, root: str, file: str, extractor: Callable[[str, str], dict], config=None, force: bool = False) -> dict:
+    def index_file(self, root: str, file: str, extractor: Callable[[str, str], dict], config=None, force: bool = False, rules: bool = False) -> dict:
         """One file of ``root`` brought up to date, the others untouched."""
         old, only = self.read(), F.col("file") == file
         files = saver(self.spark)(sources.scan(self.spark, root, config, secrets=True).where(only))
-        part, counts = brought_up_to_date(Graph(*(t.where(only) for t in (old.entities, old.relations, old.meta))), files, extractor, force)
+        part, counts = brought_up_to_date(Graph(*(t.where(only) for t in (old.entities, old.relations, old.meta))), files, extractor, force, rules=rules)
         rest = Graph(*(t.where(~only) for t in (old.entities, old.relations, old.meta)))
         names = ("entities", "relations", "meta")
         self.write(Graph(*(getattr(rest, n).unionByName(getattr(part, n)) for n in names)))

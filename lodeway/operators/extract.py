@@ -21,6 +21,7 @@ from lodeway.functions import text as X
 # What the extraction of stylesheets, configurations and templates looks for, which defines its results.
 BRACED, PROPERTY, IMPORTED = r"([^{}]+)\{", r"(--[A-Za-z0-9_-]+)\s*:", r"@import\s+(?:url\()?['\"]([^'\"]+)['\"]"
 LOOSE_KEY = r"(?m)^[ \t]*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*[:=]"
+LAST_COMMA = r"(?s),((?:\s++|/\*.*?\*/|//[^\n]*+\n)*+[}\]])"
 LENIENT = {"allowComments": "true", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowNonNumericNumbers": "true", "allowNumericLeadingZeros": "true"}
 TAG, CLASS, ID = r"<([A-Za-z][A-Za-z0-9:_-]*)", r"class(?:Name)?\s*=\s*[\"']([^\"']+)[\"']", r"id\s*=\s*[\"']([^\"']+)[\"']"
 CALL, USE = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", r"\b([a-zA-Z_][A-Za-z0-9_]*)\b(?!\s*\()"
@@ -68,7 +69,7 @@ def config_keys(files: DataFrame) -> DataFrame:
     loose = F.regexp_extract_all("text", F.lit(LOOSE_KEY), F.lit(1))
     toml = files.where(F.endswith(name, F.lit(".toml"))).select("file", F.coalesce(toml_keys("text"), loose).alias("keys"))
     other = files.where(~F.endswith(name, F.lit(".toml")))
-    free = F.from_json(F.regexp_replace("text", r",(\s*[}\]])", "$1"), "map<string,string>", LENIENT)
+    free = F.from_json(F.regexp_replace("text", LAST_COMMA, "$1"), "map<string,string>", LENIENT)
     parsed = F.when(F.rlike(name, F.lit(r"\.json5?\z")), F.coalesce(F.json_object_keys("text"), F.map_keys(free)))
     other = other.select("file", F.coalesce(parsed, loose).alias("keys"))
     rows = toml.unionByName(other).select("file", F.explode("keys").alias("name"))

@@ -17,7 +17,10 @@ EDGE = ["file", "from_name", "relation", "to_name"]
 
 @dataclass(frozen=True)
 class Graph:
-    """One snapshot: entities (KEY, description, line_start, traits), relations (EDGE), meta (file, mtime, incoming_done)."""
+    """One snapshot: entities (KEY, description, line_start, traits), relations (EDGE), meta (file, mtime, incoming_done).
+
+    Entities may have their line_end and snippet, too.
+    """
 
     entities: DataFrame
     relations: DataFrame
@@ -34,14 +37,16 @@ class Graph:
 def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old`` with ``new`` (file, name, type, description, line_start, traits) merged in.
 
-    An empty description and a missing line keep the old value; traits are replaced.
+    An empty description or snippet and a missing line keep the old value;
+    traits are replaced. ``old`` decides which columns there are.
     """
-    n = new.select(*KEY, F.col("description").alias("d"), F.col("line_start").alias("l"), F.col("traits").alias("t"), F.lit(True).alias("new"))
-    rows = old.join(n, KEY, "full")
-    return rows.select(
-        *KEY, F.coalesce(F.nullif("d", F.lit("")), "description", F.lit("")).alias("description"),
-        F.coalesce("l", "line_start").alias("line_start"), F.when(F.col("new"), F.col("t")).otherwise(F.col("traits")).alias("traits"),
-    )
+    cols = [c for c in old.columns if c not in KEY]
+    n = new.select(*KEY, *((F.col(c) if c in new.columns else F.lit(None)).alias(f"new_{c}") for c in cols), F.lit(True).alias("new"))
+    value = {c: F.coalesce(f"new_{c}", c) for c in cols}
+    for c in {"description", "snippet"} & set(cols):
+        value[c] = F.coalesce(F.nullif(f"new_{c}", F.lit("")), c, F.lit(""))
+    value["traits"] = F.when(F.col("new"), F.col("new_traits")).otherwise(F.col("traits"))
+    return old.join(n, KEY, "full").select(*KEY, *(value[c].cast(old.schema[c].dataType).alias(c) for c in cols))
 
 
 def definitions_of(entities: DataFrame) -> DataFrame:
@@ -89,8 +94,8 @@ def file_entities(files: DataFrame) -> DataFrame:
 def _stored(graph: Graph, entities: DataFrame, relations: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities and relations with those of ``files`` merged in, and the new relations that are not dropped."""
     own = file_entities(files).join(graph.entities.select("file", "name").distinct(), ["file", "name"], "left_anti")
-    entities = entities.select(*KEY, "description", "line_start", "traits")
-    new = entities.unionByName(own.join(entities.select("file", "name").distinct(), ["file", "name"], "left_anti"))
+    entities = entities.select(*KEY, *(c for c in graph.entities.columns if c not in KEY and c in entities.columns))
+    new = entities.unionByName(allowMissingColumns=True, other=own.join(entities.select("file", "name").distinct(), ["file", "name"], "left_anti"))
     known = new.select("file", "name").unionByName(graph.entities.select("file", "name"))
     kept = sanitize.without_weaker(sanitize.relations(relations, known).select(*EDGE))
     edges = graph.relations.select(*EDGE).unionByName(kept).unionByName(definitions_of(new)).distinct()

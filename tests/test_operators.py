@@ -296,6 +296,25 @@ def test_build_of_a_tree_and_of_one_file(spark, tmp_path):
     assert graph.clear().entities.count() == 0 and graph.read().meta.count() == 0
 
 
+def test_build_locates_entities_and_applies_rules(spark):
+    files = spark.createDataFrame(
+        [("a.py", 1, 40, "import os\r\n\r\nasync def load(url):\r\n    yield url\r\n"), ("s.css", 1, 30, ".card, .tile { color: red }" + " " * 20 + "/* x */" * 5), ("x.json", 1, 20, '{"port": 1, /* c */}' + "\n" * 9 + "// the port of the service, and nothing more")],
+        "file string, mtime long, length long, text string",
+    )
+    tell = lambda file, text: {"entities": [{"name": "load", "type": "fn"}]} if file == "a.py" else {}
+    graph, counts = build.brought_up_to_date(build.empty(spark), files, tell, rules=True)
+    got = {r["name"]: r for r in graph.entities.collect()}
+    assert set(got) == {"load", "a.py", ".card", ".tile", "s.css", "port", "x.json"} and counts.first()["remaining"] == 0
+    load = got["load"]
+    assert (load["line_start"], load["line_end"], load["snippet"]) == (3, 4, "import os\n\nasync def load(url):\n    yield url")
+    assert {"async", "exported"} <= set(load["traits"].split())
+    assert got["port"]["line_start"] == 1 and ("x.json", "x.json", "defines", "port") in collected(graph.relations)
+    # a later build without a place keeps the one that is known
+    again = store.upsert_entities(graph.entities, spark.createDataFrame([("a.py", "load", "function", "told", None, None, "", "t")], build.ENTITIES))
+    row = again.where("name = 'load'").first()
+    assert (row["description"], row["line_start"], row["line_end"], row["snippet"], row["traits"]) == ("told", 3, 4, load["snippet"], "t")
+
+
 def test_streams_go_on_and_batches_count_once(spark, tmp_path):
     rows = lambda xs: spark.createDataFrame(xs, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz")
     import datetime
