@@ -18,10 +18,21 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, term, tf, dl)``, with the length of the chunk in tokens."""
-    rows = chunks.select("chunk_id", X.tokens(F.col("text")).alias("ts"))
-    rows = rows.select("chunk_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
-    return rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    """``(chunk_id, term, tf, dl)``, with the length of the chunk in tokens.
+
+    Equal tokens are neighbours in the sorted ones, so a chunk counts its own
+    without an exchange.
+    """
+
+    def counted(ts):
+        n = F.size(ts)
+        starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+        run = lambda ends: F.transform(
+            ends, lambda i, k: F.struct(F.get(ts, i).alias("term"), n.cast("long").alias("dl"), (F.coalesce(F.get(ends, k + 1), n) - i).cast("long").alias("tf"))
+        )
+        return X.let(starts, run)
+
+    return chunks.select("chunk_id", F.inline(X.let(F.sort_array(X.tokens(F.col("text"))), counted))).select("chunk_id", "term", "dl", "tf")
 
 
 @dataclass
