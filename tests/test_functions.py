@@ -75,3 +75,13 @@ def test_query_parts():
 def test_traits(spark, file, snippet, kind, name, want):
     row = spark.range(1).select(F.array_join(X.traits(F.lit(name), F.lit(snippet), F.lit(file), F.lit(kind)), " ").alias("t")).first()
     assert row["t"] == want
+
+
+def test_only_the_patterns_of_the_language_are_tried(spark):
+    """The plan of a row's traits is one branch a language over one computed snippet, not all patterns of all languages."""
+    row = spark.range(1).select(F.lit("n").alias("name"), F.lit("async def x(): yield " + "y" * 400).alias("snip"), F.lit("a.py").alias("file"), F.lit("class").alias("kind"), "id")
+    got = row.select(X.traits(F.col("name"), F.col("snip"), F.col("file"), F.col("kind")).alias("t"))
+    assert got.first()["t"] == ["async", "exported", "generator"]
+    rows = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("function f() {} "), "id").alias("snip"), F.concat(F.lit("f"), "id", F.lit(".zz")).alias("file"))
+    plan = rows.select(X.traits(F.col("name"), F.col("snip"), F.col("file"), F.lit("class")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map(") <= 2 and plan.count("element_at") <= 2  # before, the language was worked out for each pattern
