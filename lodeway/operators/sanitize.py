@@ -45,8 +45,9 @@ def relations(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def without_weaker(rows: DataFrame) -> DataFrame:
-    """Distinct relations without a ``uses`` where the same pair has ``calls``."""
-    calls = rows.where("relation = 'calls'").select("file", "from_name", "to_name").distinct()
-    uses = rows.where("relation = 'uses'").join(calls, ["file", "from_name", "to_name"], "left_anti")
-    cols = ["file", "from_name", "relation", "to_name"]
-    return rows.where("relation != 'uses'").select(cols).unionByName(uses.select(cols)).distinct()
+    """Distinct relations without a ``uses`` where the same pair has ``calls``, by one exchange; a pair with a null is like no other."""
+    pair = ["file", "from_name", "to_name"]
+    whole = F.col("file").isNotNull() & F.col("from_name").isNotNull() & F.col("to_name").isNotNull()
+    found = rows.groupBy(pair).agg(F.collect_set("relation").alias("all"))
+    kept = F.when(whole & F.array_contains("all", "calls"), F.array_remove("all", "uses")).otherwise(F.col("all"))
+    return found.select(*pair, F.explode(kept).alias("relation")).select("file", "from_name", "relation", "to_name")

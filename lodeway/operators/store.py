@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeway.functions import text as X
 from lodeway.operators import sanitize
 from lodeway.operators.lookup import affected_files
+from lodeway.sources.scratch import saver
 
 KEY = ["file", "name", "type"]
 EDGE = ["file", "from_name", "relation", "to_name"]
@@ -110,7 +111,8 @@ def write_batch(graph: Graph, batch: DataFrame, entities: DataFrame, relations:
     with entities are replaced, others added to. A source file that was
     replaced needs its incoming references next.
     """
-    status = batch_status(batch, disk)
+    # Written once, one row a file: of known size, so that where files are few it is broadcast, and their many rows are not dealt by file.
+    status = saver(batch.sparkSession)(batch_status(batch, disk))
     writing = status.where(F.col("status").isin("replaced", "added")).select("file")
     base = graph.without(status.where(F.col("status").isin("skipped", "missing", "replaced")).select("file"))
     of = lambda rows: rows.join(writing, "file", "left_semi")

@@ -394,3 +394,10 @@ def test_neighbours_of_ties_copies_and_odd_vectors(spark):
     best = vectors._Best(np.arange(300), v, 4)
     best.offer_all(np.arange(300), v)
     assert set(zip(*(x.tolist() for x in best.rank()[:2]))) == want and len(best.found[0][0]) == 1200
+
+
+def test_weaker_relations_go_in_one_exchange(spark):
+    rows = rel(spark, [("f", "a", "calls", "b"), ("f", "a", "uses", "b"), ("f", "a", "uses", "b"), ("f", "a", "uses", "c"), ("f", "a", "imports", "b"), (None, "a", "calls", "b"), (None, "a", "uses", "b")])
+    got = sanitize.without_weaker(rows)
+    assert set(map(tuple, got.collect())) == {("f", "a", "calls", "b"), ("f", "a", "uses", "c"), ("f", "a", "imports", "b"), (None, "a", "calls", "b"), (None, "a", "uses", "b")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
