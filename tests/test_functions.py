@@ -85,3 +85,9 @@ def test_only_the_patterns_of_the_language_are_tried(spark):
     rows = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("function f() {} "), "id").alias("snip"), F.concat(F.lit("f"), "id", F.lit(".zz")).alias("file"))
     plan = rows.select(X.traits(F.col("name"), F.col("snip"), F.col("file"), F.lit("class")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("map(") <= 2 and plan.count("element_at") <= 2  # before, the language was worked out for each pattern
+
+
+def test_tokens_are_extracted_once_a_text(spark):
+    """The expression is in a plan once, not in the condition and again in its branch."""
+    plan = spark.range(1).select(X.tokens(F.lit("a b").substr(F.lit(1), F.col("id").cast("int"))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
