@@ -124,6 +124,31 @@ def test_structured_files_go_to_their_rules(spark):
     assert not any(r["file"] == "e.py" for r in relations.collect())
 
 
+def test_structured_equals_its_rules_in_one_pass(spark):
+    files = spark.createDataFrame(
+        [
+            ("a.scss", "\n @media x { .a,\n.b  c , { --v: 1; --v : 2 } .a { } } @import url('x.css'); @import 'x.css'"), ("a.scss", ".a {} .z {}"), ("b.css", None), ("c.css", ""),
+            ("d.json", '{"k": 1, "k2": {"n": 2}}'), ("d.json", '{"k": 3, "": 4}'), ("e.JSON5", "{a: 1,}"), ("f.json", "no json\nkey: 1\n key  = 2"), ("g.yaml", "a.b: 1\nx\na.b: 2"), (".env", "A=1\n" + "B" * 200 + "=2"),
+            ("h.toml", "a = 1\n[t.u]\nb = 2"), ("i.toml", "wrong = = 1"), (".toml", "q = 1"), ("j.html.toml", "<p>"),
+            ("k.html", '<p class=" u\n v " id="m n"><x-y [v]="go(a) && go" (c)="b.c(this)"></x-y>{{ go }} {{ p() }} @let z = w; <p><o:p>'), ("k.html", "{{ b() }} <x-y>"), ("l.vue", None), ("m.htm", ""),
+            ("n.py", "k: 1 { }"), (None, "k: 1"), ("", "k: 1"),
+        ],
+        "file string, text string",
+    )
+    of = {k: files.where(extract.strategy(F.col("file")) == k) for k in ("style", "config", "template")}
+    keys, kinds = extract.config_keys(of["config"]), lambda rows: {(r["file"], r["name"], r["type"], r["relation"]) for r in rows.collect()}
+    named = kinds(extract.stylesheet(of["style"])) | {(*r, "variable", "defines") for r in collected(keys)} | kinds(extract.template_tags(of["template"]))
+    named |= {(*r, "selector", "defines") for r in collected(extract.template_selectors(of["template"]))}
+    references = {(r["file"], r["file"], r["relation"], r["name"]) for r in extract.template_references(of["template"]).collect()}
+    assert len(named) > 20 and len(references) > 5
+    entities, relations = extract.structured(files)
+    assert collected(entities) == sorted({n[:3] for n in named})
+    assert collected(relations) == sorted({(f, f, r, n) for f, n, _, r in named} | references)
+    # each file is read once, TOML once more, and a count by file needs no further exchange
+    plan = relations.groupBy("file").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("Exchange hashpartitioning(file") == 1, plan
+
+
 def test_replies_of_models_are_read_leniently():
     assert sources.reply_payload('Here:\n```json\n{"entities": [{"name": "a//b", "type": "x,]"},], // all\n}\n```') == {"entities": [{"name": "a//b", "type": "x,]"}]}
     assert sources.reply_payload("[1]") == sources.reply_payload("sorry") == sources.reply_payload("") == {}
