@@ -223,6 +223,25 @@ def test_pagerank_with_a_dangling_node(spark):
     assert few.count() == 4
 
 
+def test_links_are_found_once_and_go_to_the_nearest_definition(spark):
+    ents = ent(spark, [(f, "same", "function", 1) for f in "cab"] + [(f"h{i}", "hub", "class", 1) for i in range(10)] + [("b", "x", "function", 1), ("d", "y", "function", 2), ("d", "gone", "template", 3)])
+    names = [("a", "same"), ("b", "same"), ("c", "same"), ("b", "x"), ("d", "y")] + [(f"h{i}", "hub") for i in range(10)]
+    rows = rel(spark, [(f, f, "defines", n) for f, n in names] + [("b", "x", "calls", "same"), ("b", "x", "uses", "same"), ("d", "y", "calls", "same"), ("d", "y", "calls", "hub"), ("d", "y", "calls", "y"), ("d", "y", "calls", "zz"), ("q", "q", "calls", "x"), (None, "y", "calls", "x"), ("d", "y", "uses", None)])
+    ranked, calls = rank.nodes(ents, rows), spark.sparkContext.accumulator(0)
+    links = rank.edges(ranked, ents, rows)
+    assert collected(links) == [("b\nx", "b\nsame", 2), ("d\ny", "a\nsame", 1)]
+    # a reference is dealt by what refers and by what it names, and is not sorted for a choice
+    assert "Window" not in links._jdf.queryExecution().executedPlan().toString()
+
+    @F.udf("string", useArrow=False)
+    def counted(x):
+        calls.add(1)
+        return x
+
+    rank.pagerank(ranked, links.coalesce(1).withColumn("src", counted.asNondeterministic()("src")), rounds=1).collect()
+    assert calls.value == 2
+
+
 def test_clusters_and_neighbours(spark):
     v = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate((0, 0.1, 0.2, 2.0, 2.1))], "vec_id long, embedding array<double>")
     near = vectors.neighbours(v, 2, block=2)
