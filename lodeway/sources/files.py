@@ -6,11 +6,10 @@ import json
 import os
 import re
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,23 +125,23 @@ def prompted(complete: Callable[[str, str], str], most_chars: int = 100_000) ->
     return lambda file, text: reply_payload(complete(file, text[:most_chars]))
 
 
-PAYLOAD = "file string, entities array<struct<name:string,type:string,description:string,tags:string>>, relations array<struct<from_name:string,relation:string,to_name:string>>"
+PAYLOAD = "struct<entities:array<struct<name:string,type:string,description:string,tags:string>>,relations:array<struct<from_name:string,relation:string,to_name:string>>>"
 
 
 def extract_with(files: DataFrame, extractor: Callable[[str, str], dict] | None = None) -> DataFrame:
-    """Payloads of a pluggable extractor, a call for each file; none gives empty payloads, a failing call too."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for file, text in zip(rows["file"], rows["text"]):
-                try:
-                    got = extractor(file, text) if extractor else {}
-                except Exception:
-                    got = {}
-                entities = [{k: e.get(k) for k in ("name", "type", "description", "tags")} for e in got.get("entities", [])]
-                relations = [{"from_name": r.get("from"), "relation": r.get("relation"), "to_name": r.get("to")} for r in got.get("relations", [])]
-                out.append((file, entities, relations))
-            yield pd.DataFrame(out, columns=["file", "entities", "relations"])
-
-    return files.select("file", "text").mapInPandas(run, PAYLOAD)
+    """Payloads of a pluggable extractor, a call for each file; none gives empty payloads, a failing call too.
+
+    Rows are pickled, a hundred at a time: batches of whole texts by the ten
+    thousand, as Arrow has them, would fill a worker's memory.
+    """
+
+    def run(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
+        try:
+            got = extractor(file, text) if extractor else {}
+        except Exception:
+            got = {}
+        entities = [tuple(e.get(k) for k in ("name", "type", "description", "tags")) for e in got.get("entities", [])]
+        return entities, [tuple(r.get(k) for k in ("from", "relation", "to")) for r in got.get("relations", [])]
+
+    told = F.udf(run, PAYLOAD, useArrow=False).asNondeterministic()  # never called twice for a file
+    return files.select("file", told("file", "text").alias("told")).select("file", "told.entities", "told.relations")

@@ -155,6 +155,23 @@ def test_replies_of_models_are_read_leniently():
     assert sources.prompted(lambda file, code: f'{{"entities": [{{"name": "{code}"}}]}}', 3)("f", "abcdef") == {"entities": [{"name": "abc"}]}
 
 
+def test_an_extractor_is_called_once_a_file_and_gets_few_texts_at_a_time(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def tell(file, text):
+        calls.add(1)
+        if text is None:
+            raise ValueError
+        return {"entities": [{"name": text, "type": "fn", "more": 1}], "relations": [{"from": text, "relation": "calls"}]} if text else {}
+
+    told = sources.extract_with(spark.createDataFrame([("a", "x"), ("b", ""), ("c", None)], "file string, text string"), tell)
+    assert collected(told.where("size(entities) >= 0")) == [("a", [("x", "fn", None, None)], [("x", "calls", None)]), ("b", [], []), ("c", [], [])]
+    assert calls.value == 3
+    # Arrow batches hold 10,000 whole texts
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan and "MapInPandas" not in plan
+
+
 def test_find_entity_falls_back(spark):
     ents = ent(spark, [("f", "loadUser", "function", 1), ("g", "saveUser", "function", 2), ("h", "Cart", "class", 3)])
     vecs = spark.createDataFrame([("loadUser", [0.2, 0.0]), ("saveUser", [0.9, 0.0]), ("Cart", [0.0, 1.0])], "name string, embedding array<double>")
